@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import mixing
+from loomgraph.llm import mixing, quality_rules, sharding
 
-QUERIES = {"op2_mix_sources": mixing.op2_mix_sources}
+QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op7_shards": sharding.op7_shards,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+}
 SQL = {"op2_mix_sources": mixing.OP2_SQL}
