@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import mixing, quality_rules, sharding
+from loomgraph.llm import decontamination, mixing, quality_rules, secrets, sharding
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_secrets": secrets.op3_secrets,
     "op7_shards": sharding.op7_shards,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 SQL = {"op2_mix_sources": mixing.OP2_SQL}
