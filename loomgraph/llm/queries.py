@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, mixing, quality_rules, secrets, sharding
+from loomgraph.llm import decontamination, mixing, quality_model, quality_rules, secrets, sharding
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_secrets": secrets.op3_secrets,
+    "op6_quality_model": quality_model.op6_quality_model,
     "op7_shards": sharding.op7_shards,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontamination": decontamination.op9_decontamination,
