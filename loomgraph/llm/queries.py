@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, mixing, quality_model, quality_rules, secrets, sharding
+from loomgraph.llm import decontamination, mixing, ngram_join, quality_model, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_secrets": secrets.op3_secrets,
     "op6_quality_model": quality_model.op6_quality_model,
