@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, mixing, ngram_join, quality_model, quality_rules, secrets, sharding, suffix_dedup
+from loomgraph.llm import decontamination, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, suffix_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_shards": sharding.op7_shards,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_personal_data": pii.op10_personal_data,
 }
 SQL = {"op2_mix_sources": mixing.OP2_SQL}
