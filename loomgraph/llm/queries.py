@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, suffix_dedup
+from loomgraph.llm import decontamination, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, suffix_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_secrets": secrets.op3_secrets,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_shards": sharding.op7_shards,
     "op8_quality_rules": quality_rules.op8_quality_rules,
