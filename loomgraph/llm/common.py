@@ -110,6 +110,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def sliced(batches, rows: int = 1000):
+    """Batches of at most `rows` rows, which bounds the arrays that a task makes of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word of all texts, and for each text the index of its first word (one more at the end)."""
     word = np.zeros(len(data) + 2, dtype=bool)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import U64, components, mix, table, utf8, word_hashes, written
+from loomgraph.llm.common import U64, components, mix, sliced, table, utf8, word_hashes, written
 
 SHINGLE, PERCENT, BLOCK, SUBGROUP = 3, 90, 256, 16
 #: Sizes of a scheme reach from its least to RATIO times that. Sets under LEAST shingles link only if equal.
@@ -109,7 +109,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = Schemes(percent)
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingle_sets(batch.column("text"), size)
             parts = [schemes.signatures(s) for s in sets]
             at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -123,7 +123,7 @@ def token_sets(docs: DataFrame, size: int) -> DataFrame:
     """docs(text) -> cid, tokens (sorted 64-bit hashes as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingle_sets(batch.column("text"), size)
             yield pa.record_batch({"cid": pa.array([class_hash(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
@@ -229,7 +229,9 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: in
     classes = p.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"))
     each = p.select("cid", F.explode("parts").alias("sig"))
     shared = each.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi")
-    edges = each.join(shared, "sig").where("cid <> lo").select(F.col("cid").alias("a"), F.col("lo").alias("b")).distinct()
+    # a class meets several leaders; it keeps its least, and the others are tied to that one
+    met = each.join(shared, "sig").groupBy("cid").agg(F.min("lo").alias("least"), F.collect_set("lo").alias("los"))  # as many as a class has parts
+    edges = met.select(F.explode(F.concat("los", F.array("cid"))).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
     groups = components(edges).select(F.col("node").alias("cid"), F.col("root").alias("grp"))
     m = written(classes.join(groups, "cid"), "members")
     # blocks: one for a small group; else by octave of the size and hash

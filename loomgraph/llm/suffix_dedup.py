@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import U64, prefix_sums, range_hash, table, utf8, written
+from loomgraph.llm.common import U64, prefix_sums, range_hash, sliced, table, utf8, written
 
 LENGTH, GRAM, HOT = 200, 40, 5_000
 #: A text is sampled in pieces, so that places fit the low bits of a hash.
@@ -77,7 +77,7 @@ def sampled(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """texts(key, text) -> a row for each run: key, s, e (window starts), rank, span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, at = utf8(batch.column("text"))
             found = [runs(data[a:b], length, gram) for a, b in zip(at[:-1], at[1:], strict=True)]
             doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
@@ -97,7 +97,7 @@ def _opened(length: int):
     """Texts with the runs to open -> (rank, offset of the anchor's first window, key, s, times, the span's bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, at = utf8(batch.column("text"))
             rows = batch.column("open").to_pylist()
             doc, flat = [], []
@@ -180,7 +180,7 @@ def _positions(length: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with ranges -> key, n_removed, n_spans, kept_sha256, spans."""
-    for batch in batches:
+    for batch in sliced(batches):
         data, at = utf8(batch.column("text"))
         removed, spans, shas = [], [], []
         for i, own in enumerate(batch.column("ranges").to_pylist()):
