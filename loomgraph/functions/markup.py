@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "blockquote", "pre", "section", "article"}
 _SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>", re.S | re.I)
@@ -24,7 +25,7 @@ def html_text(page: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in pages:
         yield batch.map(html_text, na_action=None)
@@ -60,7 +61,7 @@ def adf_text(node: dict | list | None) -> str:
     return inner
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def adf_to_text(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(value: str | None) -> str:
         try:

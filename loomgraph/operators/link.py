@@ -41,7 +41,7 @@ def link_targets(docs: DataFrame) -> DataFrame:
     tails = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
     by_path = docs.select(F.explode(F.array_distinct(F.concat(tails(full), tails(short)))).alias("key"), F.lit(1).alias("tier"), "path")
     by_title = docs.select(F.lower("title").alias("key"), F.lit(2).alias("tier"), "path")
-    by_alias = docs.select(F.lower(F.explode("aliases")).alias("key"), F.lit(3).alias("tier"), "path")
+    by_alias = docs.select(F.explode(F.transform("aliases", F.lower)).alias("key"), F.lit(3).alias("tier"), "path")
     return by_path.union(by_title).union(by_alias)
 
 
