@@ -1,0 +1,90 @@
+"""Issue trackers and wikis behind paged JSON interfaces, as a Python data source.
+
+The transport is injected (a callable from a page token to a JSON page), so a recorded export and a
+live service read alike; pages are planned as partitions where the export names them.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+Transport = Callable[[str | None], dict]
+
+
+def pages(fetch: Transport, most: int) -> Iterator[dict]:
+    """Items of all pages, up to most: {items, next} until next is missing."""
+    token, n = None, 0
+    while True:
+        page = fetch(token)
+        for item in page.get("items", []):
+            if n == most:
+                return
+            n += 1
+            yield item
+        token = page.get("next")
+        if not token:
+            return
+
+
+class RecordedPages(DataSource):
+    """Format `recorded_pages`: option path, a folder of page files; one row (page, ord, item as JSON) for each item."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recorded_pages"
+
+    def schema(self) -> str:
+        return "page string, ord int, item string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PageReader(self.options["path"])
+
+
+class _PageReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.json"))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        page = Path(partition.value)
+        for i, item in enumerate(json.loads(page.read_text()).get("items", [])):
+            yield page.name, i, json.dumps(item)
+
+
+def issue(item: Column) -> list[Column]:
+    """Columns of an issue from its JSON: key, title, body source, tags, updated, hash."""
+    field = lambda path: F.get_json_object(item, path)
+    labels = F.coalesce(F.from_json(field("$.fields.labels"), "array<string>"), F.array().cast("array<string>"))
+    tags = F.filter(F.concat(labels, F.array(field("$.fields.status.name"), field("$.fields.issuetype.name"))), lambda x: x.isNotNull())
+    return [
+        field("$.key").alias("key"), F.concat(field("$.key"), F.lit(" — "), F.coalesce(field("$.fields.summary"), F.lit(""))).alias("title"), field("$.fields.description").alias("description"),
+        tags.alias("tags"), timestamp(field("$.fields.updated")).alias("updated"),
+        F.sha2(F.concat_ws("|", field("$.key"), field("$.fields.updated"), field("$.fields.summary"), field("$.fields.description")), 256).alias("hash"),
+    ]
+
+
+def timestamp(text: Column) -> Column:
+    """RFC 3339 or `+0000` offsets; null where neither fits."""
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSZ")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssZ")))
+
+
+def high_water(issues: DataFrame) -> DataFrame:
+    """One row: the latest update among the parsable ones."""
+    return issues.agg(F.max("updated").alias("updated"))
+
+
+def incremental_query(base: str, cursor: str | None) -> str:
+    """The base query narrowed to updates since the cursor, oldest first; its own order is dropped."""
+    at = base.upper().rfind("ORDER BY")
+    body = (base[:at] if at >= 0 else base).strip()
+    since = f'updated >= "{cursor}"' if cursor else ""
+    parts = [p for p in (f"({body})" if body and since else body, since) if p]
+    return f"{' AND '.join(parts) or 'updated >= -3650d'} ORDER BY updated ASC"
