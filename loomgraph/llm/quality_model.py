@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import table, utf8
 
 FILTERS, WIDTH, CHUNK = 16, 6, 1024
-TRAIN_MOST, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 600, 3, 6, 32, 0.02
+TRAIN_MOST, TRAIN_CHUNKS, EPOCHS, BATCH, LEAST_STEPS, RATE = 600, 3, 6, 32, 150, 0.02
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,6 +69,7 @@ class Network:
     def learn(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
         mean, square, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(docs))))
         for epoch in range(epochs):
             order = r.permutation(len(docs))
             for lo in range(0, len(order), BATCH):
