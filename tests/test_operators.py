@@ -92,11 +92,11 @@ def test_graph(spark, edges):
 
 
 def test_nearest(spark):
-    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.9, 0.1]), ("n", None)], "vec_id string, embedding array<double>")
-    got = {r.id: r.nth for r in search.nearest(v, v.where("vec_id = 'c'"), 2).collect()}
-    assert got == {"c": 1, "a": 2}
-    two = search.nearest(v, v.where("vec_id in ('a', 'c')"), 1, block=1)
-    assert rows(two, "query_id", "id") == {("a", "a"), ("c", "c")}
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, None)], "vec_id long, embedding array<double>")
+    got = {r.id: r.nth for r in search.nearest(v, v.where("vec_id = 3"), 2).collect()}
+    assert got == {3: 1, 1: 2}
+    two = search.nearest(v, v.where("vec_id in (1, 3)"), 1, block=1)
+    assert rows(two, "query_id", "id") == {(1, 1), (3, 3)}
 
 
 def test_search_predicates(spark):
