@@ -10,7 +10,7 @@ from loomgraph.functions import markup, text
 from loomgraph.operators import graph, link, search
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-NEEDLE = "token"
+NEEDLE = "license"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
