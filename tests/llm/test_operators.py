@@ -157,6 +157,43 @@ def test_line_dedup(spark, docs, nothing):
     assert not line_dedup.dedup(nothing).collect()
 
 
+def _levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def _kept_lines(spark, lines):
+    """Indexes of the lines that stay, each line a document, at the production radius."""
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(lines)], cases.SCHEMA)
+    return {r.doc_id for r in line_dedup.dedup(df).collect() if not r.n_removed}
+
+
+def test_line_dedup_edits_of_words(spark):
+    """At the production radius, all pairs of edit similarity 0.9 in lines of 5 to 60 words are linked, as brute force has them."""
+    r, lines = np.random.default_rng(6), []
+    for i, n in enumerate([5, 8, 12, 20, 34, 50, 60] * 3):
+        base = cases.prose(300 + i, n)
+        lines.append(" ".join(base))
+        for times in (1, 2, 3):
+            own = list(base)
+            for at in r.permutation(n)[: max(1, times * n // 40)]:
+                own[at] = cases.prose(900 + 10 * i + times, 1)[0] + "x"
+            lines.append(" ".join(own))
+    norm, root = [cases.low(x) for x in lines], list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            most = max(len(norm[i]), len(norm[j])) // 10
+            if abs(len(norm[i]) - len(norm[j])) <= most and i // 4 == j // 4 and _levenshtein(norm[i], norm[j]) <= most:
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {min(i for i in range(len(lines)) if root[i] == k) for k in set(root)}
+    assert len(want) < 0.6 * len(lines)
+    assert _kept_lines(spark, lines) == want
+
+
 def test_pigeonhole_choices():
     r = np.random.default_rng(2)
     for n in (10, 10**5, 10**9, 10**12):
