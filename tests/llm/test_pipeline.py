@@ -39,6 +39,17 @@ def test_stages(spark, folder):
     assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.where("doc_id >= 1000").collect()).values()) <= 3
 
 
+def test_near_duplicates_of_five_words(spark, folder):
+    """One document stays of each group at five words and 0.8, as brute force has it."""
+    base = [cases.prose(800 + i, 60) for i in range(4)]
+    texts = [base[0], [*base[0], *cases.prose(91, 12)], base[1], [*base[1][:30], "edit", *base[1][31:]], base[2], [*base[2], *cases.prose(92, 30)], base[3]]
+    grams = [{tuple(cases.words(cases.low(" ".join(x))))[k : k + 5] for k in range(len(x) - 4)} for x in texts]
+    want = {j for j in range(len(texts)) if not any(100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]) for i in range(j))}
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "s", 0) for i, x in enumerate(texts)], cases.SCHEMA)
+    assert want == {0, 2, 4, 5, 6}
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, folder).collect()} == want
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     n = Counter(r.shard for r in out)
