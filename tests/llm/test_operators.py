@@ -194,6 +194,17 @@ def test_line_dedup_edits_of_words(spark):
     assert _kept_lines(spark, lines) == want
 
 
+def test_line_dedup_orders_of_words(spark):
+    """Lines of the same words share a fingerprint; two that differ by a swap are linked whatever the lead is."""
+    r, lines, want = np.random.default_rng(8), [], set()
+    for i in range(6):
+        base = cases.prose(700 + i, 40)
+        swapped = [*base[:7], base[8], base[7], *base[9:]]
+        want |= {len(lines) + k for k in (0, 2, 3, 4, 5, 6)}
+        lines += [" ".join(x) for x in (base, swapped, *(r.permutation(base) for _ in range(5)))]
+    assert _kept_lines(spark, lines) == want
+
+
 def test_pigeonhole_choices():
     r = np.random.default_rng(2)
     for n in (10, 10**5, 10**9, 10**12):
