@@ -1,7 +1,8 @@
 """Operator 9, benchmark decontamination by SimHash windows.
 
 A document is contaminated by an item when a window of the item's own number of words is similar to
-it: weighted Jaccard similarity of the five-word shingles 0.8 or more. A shingle of the benchmark
+it: weighted Jaccard similarity of the five-word shingles 0.8 or more. A document with fewer words than
+the item is one window as a whole, verified against every such item without fingerprints. A shingle of the benchmark
 weighs one over the number of items that have it, any other weighs 1. Windows start at every word.
 A window whose benchmark shingles weigh too little to reach the similarity with any item is passed
 over (an exact upper bound). The others get a 64-bit SimHash of their words, looked up in a
@@ -109,7 +110,13 @@ class Index:
         known_sum = np.concatenate([[0.0], np.cumsum(np.where(known, weight, 0.0))])
         rest_sum = np.concatenate([[0], np.cumsum(~known)])
         for n, members in self.lengths.items():
-            if n < SHINGLE or n > len(words):
+            if n < SHINGLE:
+                continue
+            if n > len(words):  # the whole document is the window
+                for i in members if known_sum[-1] > 0 else ():
+                    sim = self.verify(i, shingles)
+                    if sim >= self.similarity:
+                        found[self.items[i][0]] = max(sim, found.get(self.items[i][0], 0.0))
                 continue
             k, starts = n - SHINGLE + 1, np.arange(len(words) - n + 1)
             # repeats in a window make its set smaller, so unknown shingles count once at most in the bound

@@ -290,6 +290,35 @@ def test_decontamination(spark, docs, nothing):
     assert all(not r.bench_items for r in decontamination.search_benchmark(docs, bench.where("false")).collect())
 
 
+def _windows_of_any_size(rows, items):
+    """As cases.weighted_windows, and documents shorter than an item are one window."""
+    out = cases.weighted_windows(rows, items, 0.8)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    own = {i: cases.words(cases.low(x)) for i, x in items}
+    owners = Counter(s for w in own.values() for s in grams(w))
+    weigh = lambda ss: sum(1 / max(1, owners[s]) for s in ss)
+    for r in rows:
+        w = cases.words(cases.low(r[1]))
+        for i, x in own.items():
+            if 5 <= len(w) < len(x):
+                sim = weigh(grams(w) & grams(x)) / weigh(grams(w) | grams(x))
+                if sim >= 0.8:
+                    out[r[0], i] = sim
+    return out
+
+
+def test_decontamination_of_short_documents(spark):
+    """A document that is an item with its start or end cut off is found."""
+    items = [(i, " ".join(cases.prose(40 + i, n))) for i, n in enumerate((52, 59, 30, 6))]
+    cut = lambda i, a, b: " ".join(items[i][1].split()[a : len(items[i][1].split()) - b])
+    texts = [cut(0, 0, 1), cut(0, 2, 2), cut(1, 0, 9), cut(1, 0, 25), cut(2, 1, 0), cut(3, 0, 1), items[3][1], "one two three", None]
+    rows = [(i, x, "en", "s", 0) for i, x in enumerate(texts)]
+    want = _windows_of_any_size(rows, items)
+    assert {(0, 0), (1, 0), (2, 1), (4, 2)} <= set(want)
+    found = decontamination.search_benchmark(spark.createDataFrame(rows, cases.SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, i) for r in found.collect() for i in r.bench_items} == set(want)
+
+
 def test_personal_data(docs, nothing):
     text = {r[0]: r[1] for r in cases.documents()}
     found = pii.find_personal_data(docs).select("doc_id", pii.listed(F.col("base")).alias("base"), F.sha2(pii.listed(F.col("base")), 256).alias("sha"), "other").collect()
