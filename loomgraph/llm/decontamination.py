@@ -10,7 +10,8 @@ multi-index: the bits are cut into RADIUS + 1 blocks, so every item fingerprint
 agrees in at least one block; candidates within the radius are then verified by their shingles.
 
 The benchmark goes to the tasks in blocks of at most ITEMS_A_BLOCK items, one narrow pass over the
-documents each, so what a task holds is bounded and nothing is shuffled.
+documents each, so no document is shuffled. Owners are counted over the whole benchmark; each block gets
+the weights of all shingles with several owners (others weigh 1), so blocks don't change decisions.
 
 Cases: null, empty and blank texts hit nothing, nor do items without words; an item under five words
 is one shingle and matches as a whole; repeated items are one item; repeated documents are judged
@@ -57,19 +58,19 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Items by length, with shingles, weights and the blocks of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], owners: dict[int, int], radius: int = RADIUS, similarity: float = SIMILARITY):
+        """owners: number of items of the whole benchmark that have a shingle, where there are several."""
         self.radius, self.similarity = radius, similarity
         self.items = []
-        owners = defaultdict(set)
+        known = set(owners)
         for item, text in sorted(items):
             words, _ = word_hashes(*utf8(pa.array([text])))
             if len(words):
                 own = np.unique(grams(words, min(SHINGLE, len(words))))
                 self.items.append((item, len(words), own))
-                for s in own.tolist():
-                    owners[s].add(item)
-        self.shingles = np.array(sorted(owners), dtype=U64)
-        self.weights = np.array([1 / len(owners[s]) for s in self.shingles.tolist()])
+                known.update(own.tolist())
+        self.shingles = np.array(sorted(known), dtype=U64)
+        self.weights = np.array([1 / owners.get(s, 1) for s in self.shingles.tolist()])
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[self.shingles & U64((1 << 22) - 1)] = True
         self.lengths: dict[int, list[int]] = defaultdict(list)
@@ -86,7 +87,7 @@ class Index:
                 self.blocks[n, b, int((self.prints[i] >> shift) & mask)].append(i)
 
     def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each is a shingle of the benchmark, and its weight."""
+        """Whether each is a shingle of the block or of several items, and its weight."""
         known = self.seen[shingles & U64((1 << 22) - 1)]
         at = np.flatnonzero(known)
         weight = np.ones(len(shingles))
@@ -170,14 +171,24 @@ def _scan(index: Index, schema: pa.Schema | None = None):
     return run
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> shingle: the distinct shingles of each item."""
+    for batch in batches:
+        words, first = word_hashes(*utf8(batch.column("text")))
+        own = [np.unique(grams(words[lo:hi], min(SHINGLE, hi - lo))) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if hi > lo]
+        yield pa.record_batch({"shingle": pa.array(np.concatenate([np.zeros(0, U64), *own]).view(np.int64))})
+
+
 def search_benchmark(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, items_a_block: int = ITEMS_A_BLOCK) -> DataFrame:
     """docs(text, ...) -> docs with bench_items (array of item_id, sorted) and bench_similarity (of the best window, 0 for none)."""
     items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
     blocks = -(-items.count() // (items_a_block // 2)) or 1  # half full on the whole, so that none is over
     out = docs.drop("bench_items", "bench_similarity").withColumns({"bench_items": F.array().cast("array<long>"), "bench_similarity": F.lit(0.0)})
+    several = items.select("text").mapInArrow(_item_shingles, "shingle long").groupBy("shingle").count().where("count > 1").collect()
+    owners = {r.shingle % 2**64: r["count"] for r in several}
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = Index([(r.item_id, r.text) for r in part], radius, similarity)
+        index = Index([(r.item_id, r.text) for r in part], owners, radius, similarity)
         if index.items:
             out = out.mapInArrow(_scan(index), out.schema)
     return out

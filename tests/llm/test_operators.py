@@ -319,6 +319,22 @@ def test_decontamination_of_short_documents(spark):
     assert {(r.doc_id, i) for r in found.collect() for i in r.bench_items} == set(want)
 
 
+def test_decontamination_of_benchmark_blocks(spark):
+    """Blocks of the benchmark don't change weights, at the production radius."""
+    head = cases.prose(60, 24)
+    items = [(i, " ".join([*head, *cases.prose(61 + i, 20)])) for i in range(6)]
+    words = [x.split() for _, x in items]
+    texts = [" ".join([*cases.prose(70 + i, 20), *(w if i % 2 else ["x", "y", *w[2:]]), *cases.prose(80 + i, 20)]) for i, w in enumerate(words)]
+    texts += [" ".join([*cases.prose(90, 9)[:9], *w[9:]]) for w in words] + [" ".join([*w[:-4], *"a b c d".split()]) for w in words]
+    rows = [(i, x, "en", "s", 0) for i, x in enumerate(texts)]
+    want = _windows_of_any_size(rows, items)
+    df, bench = spark.createDataFrame(rows, cases.SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    for a_block in (20_000, 2):
+        found = decontamination.search_benchmark(df, bench, items_a_block=a_block).collect()
+        assert {(r.doc_id, i) for r in found for i in r.bench_items} == set(want)
+        assert all(abs(r.bench_similarity - max((v for k, v in want.items() if k[0] == r.doc_id), default=0)) < 1e-9 for r in found)
+
+
 def test_personal_data(docs, nothing):
     text = {r[0]: r[1] for r in cases.documents()}
     found = pii.find_personal_data(docs).select("doc_id", pii.listed(F.col("base")).alias("base"), F.sha2(pii.listed(F.col("base")), 256).alias("sha"), "other").collect()
