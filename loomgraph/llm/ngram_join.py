@@ -4,16 +4,23 @@ A document's set is its distinct 3-word shingles, lower-cased; two documents lin
 Jaccard similarity is at least 0.9. No link is lost:
 
 1. Equal sets are one class, known by a hash of the set; copies cost one row each from here on.
-2. Grouping. Sets of similar size share a scheme that cuts the token space into one part more than two
-   linked sets can differ in, so linked sets agree in a whole part. Each class emits one signature for
-   each part; classes that share a signature fall into one group (connected components). Sets that
-   share common shingles only don't agree in parts, so groups hold real near copies.
+2. Grouping. Sets of similar size share a scheme that cuts the token space into parts, more of them than
+   two linked sets can differ in, so linked sets agree in several whole parts. A class gives a signature
+   for each part, except for weak parts (few tokens, or none but common ones): as long as fewer parts are
+   weak than must agree, one agreeing part is not weak, so nothing is lost by leaving them out; a set with
+   more weak parts gives all. Classes that share a signature fall into one group (connected
+   components). Sets that share common passages only don't agree in parts, so groups hold near copies.
+   Which tokens are common is known from a sketch of bounded size over every token of every document.
 3. Groups above BLOCK classes are cut into blocks by size and hash; each pair of blocks whose sizes can
    link is one task. A task stores the token union of each small group of alike sets as a row of the
    token-group matrix, bounds by one product what every set can have in common with any member of a
    group, and opens only groups that qualify; their members are verified exactly.
 4. A task returns links as a spanning forest and counts, never as pairs; components follow from those.
 
+Signatures travel packed: a task sends those of one bucket of hash values as one row of two arrays.
+
+Tokens and sets are told apart by 64-bit hashes, signatures too; sets with equal hashes count as equal.
+
 Cases: null, empty and blank texts have 0 shingles, are components of their own and link to nothing,
 themselves included; a text of one or two words is one shingle; repeated rows are documents with equal
 sets; rows that share a doc_id share its component; an empty table gives no rows; the texts of any
@@ -33,8 +40,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import U64, components, mix, sliced, table, utf8, word_hashes, written
 
 SHINGLE, PERCENT, BLOCK, SUBGROUP = 3, 90, 256, 16
-#: Sizes of a scheme reach from its least to RATIO times that. Sets under LEAST shingles link only if equal.
-RATIO = 1.3
+#: Most tokens of a block.
+BLOCK_TOKENS = 2_000_000
+#: Sizes of a scheme reach from its least to RATIO times that; it has SPARE times the parts that two linked sets can differ in.
+RATIO, SPARE = 1.4, 1.25
+#: The sketch of common tokens: buckets of hash values; a bucket is common from COMMON times the mean on.
+SKETCH_BITS, COMMON = 20, 16
+#: Signatures that a task packs at once, and those of a bucket.
+PACKED, BUCKET = 1_000_000, 500_000
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -58,11 +71,12 @@ def shingle_sets(column, size: int) -> list[np.ndarray]:
 class Schemes:
     """Least sizes of the schemes, and the edges of their parts, for a similarity in percent."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.share = percent / 100
+        self.common = common
         self.least_size = next(n for n in range(1, 10**6) if 100 * n >= percent * (n + 1))  # I / (I + 1) reaches the similarity
         self.least = [self.least_size]
-        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
 
     def of(self, n: int) -> list[int]:
         """The schemes of a set of n shingles: its own, and the next if a linked set can be in it."""
@@ -73,26 +87,38 @@ class Schemes:
         own = int(np.searchsorted(self.least, n, side="right")) - 1
         return [own, own + 1] if n >= self.share * self.least[own + 1] - 1e-9 else [own]
 
-    def edges(self, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, scheme: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Edges and names of a scheme's parts, and the most tokens that two linked sets in it can differ in."""
         if scheme not in self.parts:
             while len(self.least) < scheme + 2:
                 self.least.append(max(self.least[-1] + 1, int(self.least[-1] * RATIO)))
             most = self.least[scheme + 1] - 1
-            k = int((1 - self.share) / (1 + self.share) * 2 * most + 1e-9) + 1
+            differ = int((1 - self.share) / (1 + self.share) * 2 * most + 1e-9)
+            k = int(differ * SPARE) + 2
             cuts = np.array([i * 2**64 // k for i in range(1, k)], dtype=U64)
-            self.parts[scheme] = cuts, mix(np.arange(k, dtype=U64) + U64((scheme + 1) << 32))
+            self.parts[scheme] = cuts, mix(np.arange(k, dtype=U64) + U64((scheme + 1) << 32)), differ
         return self.parts[scheme]
 
     def signatures(self, own: np.ndarray) -> np.ndarray:
-        """One hash for each part of each scheme of a set."""
+        """Hashes of the parts of each scheme of a set, weak ones left out where that loses nothing."""
         out = [own[:0]]
         schemes = self.of(len(own))
         if schemes:
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(own ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64)])
+            telling = np.ones(len(own), np.int64) if self.common is None else 1 - self.common[own >> U64(64 - SKETCH_BITS)]
+            told = np.concatenate([[0], np.cumsum(telling)])
+            most = int((1 - self.share) / self.share * len(own) + 1e-9)  # tokens that a linked set can differ in
             for s in schemes:
-                cuts, names = self.edges(s)
+                cuts, names, differ = self.edges(s)
                 at = np.concatenate([[0], np.searchsorted(own, cuts), [len(own)]])
-                out.append(mix((sums[at[1:]] - sums[at[:-1]]) * U64(0x9E3779B97F4A7C15) + np.diff(at).astype(U64) + names))
+                sigs = mix((sums[at[1:]] - sums[at[:-1]]) * U64(0x9E3779B97F4A7C15) + np.diff(at).astype(U64) + names)
+                strength, agree = told[at[1:]] - told[at[:-1]], len(names) - min(differ, most)
+                for least in (4, 3, 2, 1):
+                    strong = strength >= least
+                    if len(sigs) - int(strong.sum()) < agree:
+                        sigs = sigs[strong]
+                        break
+                out.append(sigs)
         return np.concatenate(out)
 
 
@@ -104,19 +130,113 @@ def class_hash(own: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n, cid, parts."""
+FREQUENT = pa.list_(pa.struct([("b", pa.int64()), ("c", pa.int64())]))
+
+
+def profiles(docs: DataFrame, size: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n, cid, and rows with n = -1 with a task's frequent buckets of tokens (bucket, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes = Schemes(percent)
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        kind = None
         for batch in sliced(batches):
             sets = shingle_sets(batch.column("text"), size)
-            parts = [schemes.signatures(s) for s in sets]
-            at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_hash(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "n", "cid", "parts"])
+            cids = [class_hash(s) for s in sets]
+            apart = list(dict(zip(cids, sets, strict=True)).values())
+            if apart:
+                counts += np.bincount((np.concatenate(apart) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            kind = batch.column("doc_id").type
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cids, pa.int64()), pa.nulls(len(sets), FREQUENT)], names=["doc_id", "n", "cid", "frequent"])
+        if kind is not None:
+            hot = np.flatnonzero(counts >= max(4, COMMON * counts.sum() / len(counts)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([[{"b": b, "c": c} for b, c in zip(hot.tolist(), counts[hot].tolist(), strict=True)]], FREQUENT)], names=["doc_id", "n", "cid", "frequent"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cid long, frequent array<struct<b:long,c:long>>")
+
+
+def common_tokens(p: DataFrame) -> np.ndarray:
+    """1 for each bucket of tokens that is common in the whole; a bucket is common in the whole only if it is in some task.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cid long, parts array<long>")
+    The result only tells which parts are weak, so it has no influence on the links that are found.
+    """
+    each = p.where("n = -1").select("cid", "frequent")
+    total = each.agg(F.sum("cid")).first()[0] or 0
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    sums = each.select(F.explode("frequent").alias("x")).groupBy("x.b").agg(F.sum("x.c").alias("c"))
+    # at most 2^SKETCH_BITS / COMMON buckets can pass
+    for r in sums.where(F.col("c") >= max(4, COMMON * total / len(out))).select("b").toLocalIterator():
+        out[r[0]] = 1
+    return out
+
+
+def signature_rows(docs: DataFrame, size: int, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
+    """docs(text) -> bucket, sigs, who, cids: packed signatures; who counts in cids. Rows without sigs hold ties between classes."""
+
+    def packed(sigs: list[np.ndarray], cids: list[int]) -> pa.RecordBatch:
+        names = np.array(cids, np.int64)
+        flat = np.concatenate(sigs)
+        who = np.repeat(np.arange(len(names)), [len(x) for x in sigs])
+        order = np.lexsort((names[who], flat))
+        flat, who = flat[order], who[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        lead = first[np.cumsum(new) - 1] if len(flat) else first
+        rest = ~new
+        ties = np.unique(np.stack([names[who[rest]], names[who[lead[rest]]]], axis=1), axis=0)  # classes that agree within the task need no more than that
+        flat, who = flat[new], who[new]
+        where = (((flat >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]]) if len(where) else np.zeros(1, np.int64)
+        rows = []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own, back = np.unique(who[lo:hi], return_inverse=True)
+            rows.append((int(where[lo]), flat[lo:hi].tobytes(), back.astype(np.uint16).tobytes(), names[own].tobytes()))
+        for lo in range(0, len(ties), BUCKET):
+            rows.append((int(ties[lo, 0] % buckets), b"", b"", ties[lo : lo + BUCKET].tobytes()))
+        return pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "sigs": pa.array([r[1] for r in rows], pa.binary()), "who": pa.array([r[2] for r in rows], pa.binary()), "cids": pa.array([r[3] for r in rows], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes = Schemes(percent, common)
+        sigs: list[np.ndarray] = []
+        cids: list[int] = []
+        seen: set[int] = set()
+        held = 0
+        for batch in sliced(batches):
+            for own in shingle_sets(batch.column("text"), size):
+                cid = class_hash(own)
+                if not len(own) or cid in seen:
+                    continue
+                seen.add(cid)
+                sigs.append(schemes.signatures(own))
+                cids.append(cid)
+                held += len(sigs[-1])
+                if held >= PACKED or len(cids) >= 50_000:
+                    yield packed(sigs, cids)
+                    sigs, cids, seen, held = [], [], set(), 0
+        if cids:
+            yield packed(sigs, cids)
+
+    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, who binary, cids binary")
+
+
+def _agreeing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket's signatures -> (cid, lo): classes that share a signature, tied to the least of them."""
+    sigs, cids, ties = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+    for s, w, c in zip(pdf["sigs"], pdf["who"], pdf["cids"], strict=True):
+        if len(s):
+            sigs.append(np.frombuffer(s, U64))
+            cids.append(np.frombuffer(c, np.int64)[np.frombuffer(w, np.uint16)])
+        else:
+            ties.append(np.frombuffer(c, np.int64).reshape(-1, 2))
+    sig, cid = np.concatenate(sigs), np.concatenate(cids)
+    order = np.lexsort((cid, sig))
+    sig, cid = sig[order], cid[order]
+    if len(sig):
+        new = np.concatenate([[True], sig[1:] != sig[:-1]])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        met = ~new & (cid != cid[lead])
+        ties.append(np.stack([cid[met], cid[lead[met]]], axis=1))
+    out = np.unique(np.concatenate(ties), axis=0)
+    return pd.DataFrame({"cid": out[:, 0], "lo": out[:, 1]})
 
 
 def token_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -225,19 +345,22 @@ def _verify(percent: int):
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, n_links; one row for each row."""
-    p = written(profiles(docs, size, percent), "profiles")
+    p = written(profiles(docs, size), "profiles")
+    common = common_tokens(p)
+    p = p.where("n >= 0").select("doc_id", "n", "cid")
     classes = p.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"))
-    each = p.select("cid", F.explode("parts").alias("sig"))
-    shared = each.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi")
+    tokens_in_all = p.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, int(tokens_in_all * 2 * (100 - percent) / 100) // BUCKET)
+    agreed = signature_rows(docs, size, percent, common, buckets).groupBy("bucket").applyInPandas(_agreeing, "cid long, lo long")
     # a class meets several leaders; it keeps its least, and the others are tied to that one
-    met = each.join(shared, "sig").groupBy("cid").agg(F.min("lo").alias("least"), F.collect_set("lo").alias("los"))  # as many as a class has parts
+    met = agreed.groupBy("cid").agg(F.min("lo").alias("least"), F.collect_set("lo").alias("los"))  # as many as a class has parts
     edges = met.select(F.explode(F.concat("los", F.array("cid"))).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
     groups = components(edges).select(F.col("node").alias("cid"), F.col("root").alias("grp"))
     m = written(classes.join(groups, "cid"), "members")
     # blocks: one for a small group; else by octave of the size and hash
-    total = m.groupBy("grp").agg(F.count(F.lit(1)).alias("total"))
-    m = m.join(total, "grp").withColumn("band", F.when(F.col("total") <= block, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(1 / (percent / 100)))).cast("int")))
-    bands = written(m.groupBy("grp", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "bands")
+    total = m.groupBy("grp").agg(F.count(F.lit(1)).alias("total"), F.sum("n").alias("tokens"))
+    m = m.join(total, "grp").withColumn("band", F.when((F.col("total") <= block) & (F.col("tokens") <= BLOCK_TOKENS), 0).otherwise(F.floor(F.log("n") / F.log(F.lit(1 / (percent / 100)))).cast("int")))
+    bands = written(m.groupBy("grp", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")), "bands")
     m = m.join(bands, ["grp", "band"]).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     o = bands.select("grp", F.col("band").alias("band2"), F.col("blocks").alias("blocks2"))
     # a set of band k links to sets of bands k - 1 to k + 1

@@ -57,15 +57,28 @@ def test_ngram_join_blocks(spark):
 def test_linked_sets_share_a_part():
     """Sets at the edge of the similarity agree in a part of a scheme of both."""
     r = np.random.default_rng(5)
-    schemes = ngram_join.Schemes(90)
-    for n in [*range(8, 60), 97, 200, 555]:
-        for _ in range(4):
-            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-            most = n - int(np.ceil(0.9 * n - 1e-9))  # that many may be missing
-            drop = r.permutation(n)[: r.integers(0, most + 1)] if most else []
-            b = np.delete(a, drop)
-            if len(b) < n and 100 * len(b) >= 90 * n:
-                assert set(schemes.signatures(a).tolist()) & set(schemes.signatures(b).tolist()), n
+    common = (r.random(1 << ngram_join.SKETCH_BITS) < 0.3).astype(np.int64)
+    for percent in (90, 80):
+        schemes = ngram_join.Schemes(percent, common)
+        for n in [*range(4, 60), 97, 200, 555]:
+            for _ in range(6):
+                a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+                most = n - int(np.ceil(percent / 100 * n - 1e-9))  # that many may be missing
+                out = int(r.integers(0, most + 1))
+                more = next(k for k in range(n, -1, -1) if 100 * (n - out) >= percent * (n + k))  # and that many may be new
+                b = np.unique(np.concatenate([np.delete(a, r.permutation(n)[:out]), r.integers(0, 2**63, more, dtype=np.uint64) * np.uint64(2)]))
+                if out + more and 100 * (n - out) >= percent * (n + more):
+                    assert set(schemes.signatures(a).tolist()) & set(schemes.signatures(b).tolist()), (percent, n)
+
+
+def test_groups_of_unrelated_sets_stay_small(spark):
+    """Documents that share a long passage and nothing else don't meet in groups, however many they are."""
+    shared = " ".join(cases.prose(1, 40))
+    rows = [(i, " ".join([*cases.prose(100 + i, 60), shared, *cases.prose(9000 + i, 60)]), "en", "s", 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, cases.SCHEMA).repartition(2)
+    p = ngram_join.profiles(df, 5)
+    agreed = ngram_join.signature_rows(df, 5, 80, ngram_join.common_tokens(p), 3).groupBy("bucket").applyInPandas(ngram_join._agreeing, "cid long, lo long")
+    assert agreed.select("cid").distinct().count() < 30
 
 
 def test_mixing(spark, docs, nothing):
