@@ -148,6 +148,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, piece
     return out, first
 
 
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n numbers the least one that it reaches by the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 # --- connected components --------------------------------------------------------------------------
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import U64, components, mix, sliced, table, utf8, word_hashes, written
+from loomgraph.llm.common import U64, components, least_reached, mix, sliced, table, utf8, word_hashes, written
 
 SHINGLE, PERCENT, BLOCK, SUBGROUP = 3, 90, 256, 16
 #: Most tokens of a block.
@@ -298,24 +298,6 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
     return out
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """For each of n sets the least set that it reaches by the links."""
-    root = np.arange(n)
-    a, b = np.nonzero(linked)
-    a, b = left[a], right[b]
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _verify(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "cid"], ignore_index=True)
@@ -335,7 +317,8 @@ def _verify(percent: int):
             else:
                 count[left] += linked @ times[right]
                 count[right] += linked.T @ times[left]
-            root = _forest(linked, left, right, len(sets))
+            a, b = np.nonzero(linked)
+            root = least_reached(left[a], right[b], len(sets))
         hit = count > 0
         rep = pdf["rep"].to_numpy()
         return pd.DataFrame({"cid": pdf["cid"][hit], "a": rep[hit], "b": rep[root[hit]], "links": count[hit]})
