@@ -1,12 +1,16 @@
 """Operator 2, mixing sources to target weights by entropy balancing.
 
-Rates minimise sum size * (w log w - w + 1) subject to each source's token constraint; the dual is
-convex, one multiplier for each source, and the rates are exponentially tilted, w = exp(lambda).
-Newton steps on the dual run as a column expression on the table of sources, so that the work is
-dealt by source and nothing goes through the driver. Rates are rounded into whole copies: every
-document gets floor(w) of them, and one more goes to documents in the order of md5(doc_id) up to the
-source's remaining words. That order is cut into cells of some thousand documents (a prefix of the
-md5), with running sums of cells and then within cells, so a hot source is spread over many tasks.
+The rates w of a source's documents minimise sum (w log w - w + 1) under 0 <= w <= MOST, such that
+sum size * w is the source's target. The dual is convex, one multiplier for each source, and a
+document's rate is exponentially tilted by its share of the constraint, w = exp(lambda * size / mean size),
+cut off at MOST. Newton steps on the dual take the gradient and the Hessian as sums over all documents,
+one distributed groupBy for all sources at once; the table of sources stays a table, and steps that leave
+the known bracket of lambda are halved into it. Rounds end as every source is met.
+
+Rates are rounded into whole copies: floor(w), and one more wherever the running sum of the fractions, in
+the order of (size, md5(doc_id)), passes a whole number, so that a source's taken words are off by about one
+document. The running sums are cut into cells (size, prefix of the md5) of some thousand documents: sums
+of cells first, then within cells, so a hot source is spread over many tasks.
 
 Cases: null or blank texts have size 0 and take 0; a null source is a source of its own, the last; an
 empty table gives an empty mix; repeated rows are separate documents; a source without words has the
@@ -23,7 +27,8 @@ from loomgraph.llm.common import n_words, table, written
 
 #: Weights of the sources in the order of their names, repeating; most copies of a document.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
-NEWTON_STEPS = 60
+#: Most Newton steps, and the share of its target by which a source may be off after them.
+NEWTON_STEPS, EXACT = 40, 1e-9
 ROWS_PER_CELL = 5_000
 
 
@@ -50,65 +55,63 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     return s.select("source", "source_size", "weight", F.least((most * F.col("source_size")).cast("double"), share).alias("target"))
 
 
-def tilted_rates(sources: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
-    """Adds rate = exp(lambda), lambda by Newton steps on the dual size * exp(lambda) - lambda * target.
+def _rate(lam: F.Column, x: F.Column, most: int) -> F.Column:
+    return F.least(F.lit(float(most)), F.exp(F.least(lam * x, F.lit(50.0))))
 
-    A step is (target - moved) / moved, held within 1 so that small targets are neared safely.
+
+def tilted(docs: DataFrame, sources: DataFrame, most: int = MOST, steps: int = NEWTON_STEPS) -> DataFrame:
+    """docs(source, size), sources(source, source_size, target) -> sources with mean (size) and lam.
+
+    Sums are gathered by source and size, which is all that they depend on. Where the target is all
+    that a source can give, lam is beyond any cut-off.
     """
-    goal = F.col("target") / F.col("source_size")
-    newton = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0),
-        lambda lam, _: lam + F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (goal - F.exp(lam)) / F.exp(lam))),
-    )
-    return sources.withColumn("rate", F.when(F.col("target") > 0, F.exp(newton)).otherwise(0.0))
+    sizes = written(docs.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
+    mean = sizes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    s = sources.alias("s").join(mean.alias("m"), F.expr("s.source <=> m.source"), "left").select("s.*", F.coalesce("m.mean", F.lit(1.0)).alias("mean"))
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    s = written(s.withColumns({"lam": F.when(full, 1e6).otherwise(0.0), "low": F.lit(-1e9), "high": F.lit(1e9), "met": full | (F.col("target") <= 0)}), "duals")
+    for _ in range(steps):
+        x, lam = F.col("d.size") / F.col("s.mean"), F.col("s.lam")
+        w = _rate(lam, x, most)
+        moved = sizes.alias("d").join(s.where("not met").alias("s"), F.expr("d.source <=> s.source")).groupBy("s.source").agg(
+            F.sum(F.col("d.size") * F.col("n") * w).alias("words"), F.sum(F.when(w < most, F.col("d.size") * F.col("n") * x * w).otherwise(0.0)).alias("slope"))
+        j = s.alias("s").join(moved.alias("m"), F.expr("s.source <=> m.source"), "left")
+        off = F.col("m.words") - F.col("s.target")
+        done = F.col("s.met") | F.coalesce(F.abs(off) <= EXACT * F.col("s.target"), F.lit(True))
+        low, high = F.when(off < 0, F.col("s.lam")).otherwise(F.col("s.low")), F.when(off > 0, F.col("s.lam")).otherwise(F.col("s.high"))
+        j = j.select("s.source", "s.source_size", "s.target", "s.mean", "s.lam", low.alias("low"), high.alias("high"), done.alias("met"), (F.col("s.lam") - off / F.greatest(F.col("m.slope"), F.lit(1e-300))).alias("to"))
+        inside = (F.col("to") > F.col("low")) & (F.col("to") < F.col("high"))
+        # a bracket open on one side is left by a step of one or the double
+        half = F.when(F.col("high") >= 1e9, F.greatest(2 * F.col("low"), F.col("low") + 1)).when(F.col("low") <= -1e9, F.least(2 * F.col("high"), F.col("high") - 1)).otherwise((F.col("low") + F.col("high")) / 2)
+        step = F.when(inside & (F.abs(F.col("to") - F.col("lam")) < 5), F.col("to")).otherwise(half)
+        s = written(j.select("source", "source_size", "target", "mean", F.when(F.col("met"), F.col("lam")).otherwise(step).alias("lam"), "low", "high", "met"), "duals")
+        if not s.where("not met").limit(1).count():
+            break
+    return s
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, rows_per_cell: int = ROWS_PER_CELL, row_id: str = "doc_id", rows: int | None = None) -> DataFrame:
     """docs(row_id, source, size) -> (row_id, source, size, source_size, target, rate, copies)."""
-    rates = tilted_rates(targets(docs, weights, most))
+    duals = tilted(docs, targets(docs, weights, most), most)
     rows = docs.count() if rows is None else rows
     digits = max(0, min(8, (max(1, rows // rows_per_cell) - 1).bit_length() + 3 >> 2))
     order = F.md5(F.coalesce(F.col(row_id).cast("string"), F.lit("")))
     d = docs.select(row_id, "source", "size", order.alias("_order")).withColumn("_cell", F.substring("_order", 1, digits))
-    within = d.groupBy("source", "_cell").agg(F.sum("size").alias("_words"))
-    before = within.select("source", "_cell", (F.sum("_words").over(W.partitionBy("source").orderBy("_cell")) - F.col("_words")).alias("_before"))
-    cells = before.alias("c").join(rates.alias("r"), F.expr("c.source <=> r.source")).select("c.source", "c._cell", "c._before", "r.source_size", "r.target", "r.rate")
-    run = F.sum("size").over(W.partitionBy("source", "_cell").orderBy("_order", row_id, "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    d = d.withColumn("_run", run)
-    j = d.alias("d").join(cells.alias("c"), F.expr("d.source <=> c.source and d._cell = c._cell"))
-    floor = F.floor(F.col("c.rate") + 1e-9)
-    rest = F.col("c.target") - floor * F.col("c.source_size")
-    one_more = (F.col("c._before") + F.col("d._run") + F.col("d.size") / 2.0 < rest) & (floor < most)
-    return j.select(f"d.{row_id}", "d.source", "d.size", "c.source_size", "c.target", "c.rate", F.least(F.lit(most), floor + one_more.cast("long")).cast("int").alias("copies"))
+    j = d.alias("d").join(duals.alias("s"), F.expr("d.source <=> s.source"))
+    rate = F.when((F.col("d.size") == 0) | (F.col("s.target") <= 0), 0.0).otherwise(_rate(F.col("s.lam"), F.col("d.size") / F.col("s.mean"), most))
+    # sums of whole millionths are the same in any order
+    d = j.select(f"d.{row_id}", "d.source", "d.size", "d._order", "d._cell", "s.source_size", "s.target", F.round(rate, 6).alias("rate"))
+    d = d.withColumns({"_whole": F.floor("rate"), "_part": F.round((F.col("rate") - F.floor("rate")) * 1e6).cast("long")})
+    cells = d.groupBy("source", "size", "_cell").agg(F.sum("_part").alias("_parts"))
+    before = cells.select("source", "size", "_cell", (F.sum("_parts").over(W.partitionBy("source").orderBy("size", "_cell")) - F.col("_parts")).alias("_before"))
+    run = F.sum("_part").over(W.partitionBy("source", "size", "_cell").orderBy("_order", row_id).rowsBetween(W.unboundedPreceding, W.currentRow))
+    j = d.withColumn("_run", run).alias("d").join(before.alias("c"), F.expr("d.source <=> c.source and d.size = c.size and d._cell = c._cell"))
+    upto = F.col("c._before") + F.col("d._run") + 500_000
+    one_more = F.floor(upto / 1_000_000) > F.floor((upto - F.col("d._part")) / 1_000_000)
+    return j.select(f"d.{row_id}", "d.source", "d.size", "d.source_size", "d.target", "d.rate", F.least(F.lit(most), F.col("d._whole") + one_more.cast("long")).cast("int").alias("copies"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     m = mix(docs)
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
-
-
-OP2_SQL = r"""
-with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size from documents
-), s as (
-  select source, cast(sum(size) as bigint) source_size from d group by source
-), w as (
-  select *, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end weight from s
-), o as (
-  select *, sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source is null, source rows between unbounded preceding and 1 preceding), 0) free,
-         sum(weight) over () - coalesce(sum(weight) over (order by 3 * source_size / weight, source is null, source rows between unbounded preceding and 1 preceding), 0) opened
-  from w
-), l as (
-  select cast(free as double) free, opened from o where weight * free <= 3 * source_size * opened order by 3 * source_size / weight, source is null, source limit 1
-), t as (
-  select w.source, w.source_size, least(cast(3 * w.source_size as double), w.weight * l.free / l.opened) target from w, l
-), r as (
-  select d.doc_id, d.size, t.source_size, t.target, floor(t.target / t.source_size + 1e-9) whole,
-         sum(d.size) over (partition by d.source order by md5(coalesce(cast(d.doc_id as varchar), '')), d.doc_id, d.size rows between unbounded preceding and current row) - d.size run
-  from d join t on d.source is not distinct from t.source
-), c as (
-  select *, cast(least(3, whole + case when run + size / 2.0 < target - whole * source_size and whole < 3 then 1 else 0 end) as integer) copies from r
-)
-select doc_id, size, source_size, target, cast(size * copies as bigint) taken, copies from c
-"""

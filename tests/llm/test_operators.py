@@ -102,7 +102,15 @@ def test_mixing(spark, docs, nothing):
     for s in names:
         want = 3 * size[s] if s in capped else level * weight[s]
         assert by[s][0].target == pytest.approx(want)
-        assert by[s][0].rate == pytest.approx(want / size[s], rel=1e-6)
+        low, high = -1e6, 1e6  # the multiplier by halving
+        own = [r["size"] for r in by[s] if r["size"]]
+        at = lambda lam: [min(3.0, np.exp(min(50, lam * x * len(own) / sum(own)))) for x in own]  # noqa: E731, B023
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(x * w for x, w in zip(own, at(mid), strict=True)) < want else (low, mid)
+        rates = dict(zip(own, at(high), strict=True))
+        assert all(r.rate == pytest.approx(rates.get(r["size"], 0), abs=2e-6) for r in by[s])
+        assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in by[s])
         assert abs(sum(r["size"] * r.copies for r in by[s]) - want) <= max(r["size"] for r in by[s])
     assert Counter(map(tuple, m)) == Counter(map(tuple, mixing.mix(sizes.repartition(5), rows_per_cell=3).collect()))
     assert not mixing.mix(nothing.select("doc_id", "source", n_words(F.col("text")).alias("size"))).collect()
