@@ -24,12 +24,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked documents; repeated rows of it once.
+    """The document with the least doc_id of each group of linked documents; equal rows of it once.
 
     Near duplicates share 80 percent of their five-word shingles; op1's three words and 90 percent are its own contract.
     """
-    stays = ngram_join.join(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    groups = ngram_join.join(docs, size=5, percent=80).select("doc_id", "component_id").distinct()
+    stays = groups.where("doc_id = component_id").select("doc_id")
+    packed = docs.select(F.struct(*docs.columns).alias("_row")).join(stays.select(F.col("doc_id").alias("_stays")), F.expr("_row.doc_id = _stays"), "left_semi")
+    # repeated rows of a document are one; a row that shares its doc_id with another text is not lost
+    once = packed.distinct().unionByName(docs.where("doc_id is null").select(F.struct(*docs.columns).alias("_row")))
+    return once.select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +46,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows that share a doc_id share the number."""
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    copies = mixing.mix(sizes).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.alias("d").join(copies.withColumnRenamed("doc_id", "_id"), F.expr("d.doc_id <=> _id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(f"d.{c}" for c in docs.columns))
+    copies = mixing.mix(sizes).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    taken = docs.select(F.struct(*docs.columns).alias("_row")).join(copies, F.expr("_row.doc_id <=> _id"))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
