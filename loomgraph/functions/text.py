@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Chunk windows: characters of a window, characters shared by neighbours.
@@ -17,7 +17,7 @@ def identifiers(body: Column) -> Column:
 
 
 def issue_keys(text: Column) -> Column:
-    """Distinct issue keys such as MM-147, in order of appearance."""
+    """Distinct issue keys such as QX-901, in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]{1,9}-[0-9]{1,6}(?![A-Za-z0-9_])"), F.lit(0)))
 
 
@@ -100,6 +100,21 @@ def chunks(body: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(b, i * step + 1, F.lit(window)))).otherwise(F.array().cast("array<string>"))
 
 
+def chunk_rows(docs: DataFrame, body: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """docs(..., body) -> a row for each window of the body, as chunks() has them: ordinal and chunk in place of the body.
+
+    The body is trimmed once, as a column below the rows, so the work is linear in the length of a text.
+    """
+    window = max(64, window)
+    step = window - min(overlap, window // 2)
+    keys = [c for c in docs.columns if c != body]
+    d = docs.select(*keys, F.regexp_replace(body, r"^\s+|\s+$", "").alias("_body"))
+    n = F.length("_body")
+    last = F.when(n == 0, -1).when(n <= window, 0).otherwise(F.ceil((n - window) / step)).cast("int")
+    d = d.select(*keys, "_body", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("ordinal"))
+    return d.select(*keys, "ordinal", F.substring("_body", F.col("ordinal") * step + 1, F.lit(window)).alias("chunk"))
+
+
 def excerpt(body: Column, needle: str, before: int = 80, window: int = 160) -> Column:
     """The first match of a lower-case needle in bold with its surroundings, on one line."""
     at = F.instr(F.lower(body), needle.lower())

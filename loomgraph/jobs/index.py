@@ -108,7 +108,9 @@ def _chunks(store: Store, todo: DataFrame, settings: Settings) -> DataFrame:
     s = store.read("symbol").join(todo.select(KEYS), KEYS, "left_semi").select(*KEYS, text.token("symbol", F.col("source"), F.col("fqn")).alias("parent"), F.lit(0).alias("ordinal"), F.concat_ws("\n", F.concat_ws(" ", "kind", "name"), "fqn", F.concat(F.lit("file "), "path")).alias("text"))
     d = store.read("document").join(todo.select(KEYS), KEYS, "left_semi")
     head = F.concat_ws("\n", "title", F.array_join("tags", " "), F.array_join("aliases", " "))
-    d = d.select(*KEYS, text.token("document", F.col("source"), F.col("path")).alias("parent"), F.posexplode(F.concat(F.array(head), text.chunks(F.col("body")))).alias("ordinal", "text"))
+    d = d.select(*KEYS, text.token("document", F.col("source"), F.col("path")).alias("parent"), head.alias("head"), "body")
+    windows = text.chunk_rows(d.drop("head"), "body").select(*KEYS, "parent", (F.col("ordinal") + 1).alias("ordinal"), F.col("chunk").alias("text"))
+    d = d.select(*KEYS, "parent", F.lit(0).alias("ordinal"), F.col("head").alias("text")).unionByName(windows)
     return embed_chunks(s.unionByName(d), settings.embedder)
 
 
@@ -128,9 +130,9 @@ def edges(store: Store, settings: Settings) -> DataFrame:
     calls = c.where("what = 'call'").select(F.concat_ws("\t", "source", "fqn", "target", "path").alias("call_id"), "source", F.col("target").alias("name"), F.col("path").alias("file"))
     called = link.resolve_calls(calls, s.select("source", "name", F.col("path").alias("file"), "fqn"))
     called = called.select(F.lit("calls"), F.concat_ws(":", F.lit("symbol"), part("call_id", 1), part("call_id", 2)).alias("a"), F.concat_ws(":", F.lit("symbol"), part("call_id", 1), "fqn").alias("b"), *none).where("a <> b")
-    links = d.select(F.concat_ws("\t", "source", "path").alias("id"), F.explode("links").alias("target"))
-    noted = link.resolve_wikilinks(links, d.select("path", "title", "aliases")).where("path is not null")
-    noted = noted.join(d.select("path", F.col("source").alias("to")), "path").select(F.lit("references"), F.concat_ws(":", F.lit("document"), part("id", 1), part("id", 2)), F.concat_ws(":", F.lit("document"), "to", "path"), *none)
+    links = d.select(F.concat_ws("\t", "source", "path").alias("id"), "source", F.explode("links").alias("target"))
+    noted = link.resolve_wikilinks(links, d.select("source", "path", "title", "aliases")).where("path is not null")
+    noted = noted.select(F.lit("references"), F.concat_ws(":", F.lit("document"), part("id", 1), part("id", 2)), F.concat_ws(":", F.lit("document"), "source", "path"), *none)
     m = link.mentions(d.select(F.concat_ws(":", F.lit("document"), "source", "path").alias("doc_id"), F.col("body").alias("text")), s.select("source", "name", "fqn"), settings.mention_threshold)
     mentioned = m.select(F.lit("mentions"), "doc_id", F.concat_ws(":", F.lit("symbol"), "source", "fqn"), F.col("confidence").cast("double"), "evidence")
     out = holds.union(defines).union(imports).union(called).union(noted).union(mentioned)

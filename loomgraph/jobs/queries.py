@@ -126,7 +126,7 @@ c as (select doc_id, cast(i as int) ordinal, substring(body, i * 1050 + 1, 1200)
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("ordinal", "chunk"))
+    return text.chunk_rows(t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
 @query(_CHUNKS + "select doc_id, ordinal, md5(chunk) md5, length(chunk) n_chars from c")
@@ -235,15 +235,10 @@ with c as (select event_id call_id, event_type, user_id from events), s as (
 select c.call_id, coalesce(s.fqn, a.fqn) fqn from c left join s on s.event_type = c.event_type and s.user_id = c.user_id % 7 join a on a.event_type = c.event_type
 """)
 def call_resolve(spark, sf_dir):
-    """Events as calls from the file user_id % 7; symbols are the first events of each type and user.
-
-    Symbols are as many as types and users, so the same-file and the any-file tier are two equi-joins.
-    """
-    e = t(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
-    s = e.groupBy("event_type", "user_id").agg(F.min(F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 9, "0"))).alias("fqn"))
-    any_ = s.groupBy("event_type").agg(F.min("fqn").alias("any_fqn"))
-    calls = e.select(F.col("event_id").alias("call_id"), "event_type", (F.col("user_id") % 7).alias("user_id"))
-    return calls.join(s, ["event_type", "user_id"], "left").join(any_, "event_type").select("call_id", F.coalesce("fqn", "any_fqn").alias("fqn"))
+    """Events as calls from the file user_id % 7; symbols are the events of each type and user."""
+    e = t(spark, sf_dir, "events").select(F.lit("events").alias("source"), "event_id", F.col("event_type").alias("name"), F.col("user_id").alias("file"))
+    symbols = e.select("source", "name", "file", F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("fqn"))
+    return link.resolve_calls(e.select(F.col("event_id").alias("call_id"), "source", "name", (F.col("file") % 7).alias("file")), symbols)
 
 
 _HREF = r"""select page_id id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) target from pages"""
@@ -258,9 +253,9 @@ h as (select l.id, l.target, min(path) path from l join k on k.key = l.target gr
 def _wikilinks(spark, sf_dir) -> DataFrame:
     p = t(spark, sf_dir, "pages")
     links = p.select(F.col("page_id").alias("id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
-    links = links.select("id", F.regexp_replace("target", "^https?://", "").alias("target"))
-    docs = p.select(F.regexp_replace("url", "^https?://", "").alias("path")).distinct().withColumns({"title": F.lit(None).cast("string"), "aliases": F.array().cast("array<string>")})
-    return link.resolve_wikilinks(links, docs)
+    links = links.select("id", F.lit("pages").alias("source"), F.regexp_replace("target", "^https?://", "").alias("target"))
+    docs = p.select(F.regexp_replace("url", "^https?://", "").alias("path")).distinct().withColumns({"source": F.lit("pages"), "title": F.lit(None).cast("string"), "aliases": F.array().cast("array<string>")})
+    return link.resolve_wikilinks(links, docs).drop("source")
 
 
 @query(_WIKI + "select l.id, l.target, h.path from l left join h on h.id = l.id and h.target = l.target")

@@ -29,32 +29,36 @@ def resolve_imports(wanted: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """calls(call_id, source, name, file), symbols(source, name, file, fqn) -> call_id, fqn: same file first, then least fqn."""
-    s = symbols.select("source", "name", F.col("file").alias("_file"), "fqn")
-    first = W.partitionBy("call_id").orderBy(F.col("_file").eqNullSafe(F.col("file")).desc(), "fqn")
-    return calls.join(s, ["source", "name"]).withColumn("nth", F.row_number().over(first)).where("nth = 1").select("call_id", "fqn")
+    """calls(call_id, source, name, file), symbols(source, name, file, fqn) -> call_id, fqn: same file first, then least fqn.
+
+    Both tiers are aggregated before the join, so a name that thousands of symbols share is one row.
+    """
+    near = symbols.groupBy("source", "name", "file").agg(F.min("fqn").alias("_near"))
+    any_ = near.groupBy("source", "name").agg(F.min("_near").alias("_any"))
+    found = calls.join(near, ["source", "name", "file"], "left").join(any_, ["source", "name"])
+    return found.select("call_id", F.coalesce("_near", "_any").alias("fqn"))
 
 
 def link_targets(docs: DataFrame) -> DataFrame:
-    """docs(path, title, aliases) -> key, tier, path: every name a wikilink can have for a note."""
+    """docs(source, path, title, aliases) -> source, key, tier, path: every name a wikilink can have for a note."""
     full, short = F.split("path", "/"), F.split(F.regexp_replace("path", r"\.[^./]*$", ""), "/")
     tails = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
-    by_path = docs.select(F.explode(F.array_distinct(F.concat(tails(full), tails(short)))).alias("key"), F.lit(1).alias("tier"), "path")
-    by_title = docs.select(F.lower("title").alias("key"), F.lit(2).alias("tier"), "path")
-    by_alias = docs.select(F.explode(F.transform("aliases", F.lower)).alias("key"), F.lit(3).alias("tier"), "path")
+    by_path = docs.select(F.explode(F.array_distinct(F.concat(tails(full), tails(short)))).alias("key"), F.lit(1).alias("tier"), "path", "source")
+    by_title = docs.select(F.lower("title").alias("key"), F.lit(2).alias("tier"), "path", "source")
+    by_alias = docs.select(F.explode(F.transform("aliases", F.lower)).alias("key"), F.lit(3).alias("tier"), "path", "source")
     return by_path.union(by_title).union(by_alias)
 
 
 def resolve_wikilinks(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """links(id, target) -> id, target, path (null if broken): path or stem, then title, then alias.
+    """links(id, source, target) -> id, source, target, path (null if broken) within the source: path or stem, then title, then alias.
 
     A note ends with the target exactly if the target is one of the note's path tails, so the suffix
     match is an equality; the title and alias tiers compare in lower case.
     """
-    t = link_targets(docs).groupBy("tier", "key").agg(F.min("path").alias("path"))
-    keyed = links.select("id", "target", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("target").alias("key")), *(F.struct(F.lit(k).alias("tier"), F.lower("target").alias("key")) for k in (2, 3)))).alias("x")).select("id", "target", "x.*")
-    found = keyed.join(t, ["tier", "key"]).groupBy("id", "target").agg(F.min_by("path", F.struct("tier", "path")).alias("path"))
-    return links.select("id", "target").distinct().join(found, ["id", "target"], "left")
+    t = link_targets(docs).groupBy("source", "tier", "key").agg(F.min("path").alias("path"))
+    keyed = links.select("id", "source", "target", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("target").alias("key")), *(F.struct(F.lit(k).alias("tier"), F.lower("target").alias("key")) for k in (2, 3)))).alias("x")).select("id", "source", "target", "x.*")
+    found = keyed.join(t, ["source", "tier", "key"]).groupBy("id", "source", "target").agg(F.min_by("path", F.struct("tier", "path")).alias("path"))
+    return links.select("id", "source", "target").distinct().join(found, ["id", "source", "target"], "left")
 
 
 def mentions(docs: DataFrame, catalog: DataFrame, threshold: float = 0.75) -> DataFrame:

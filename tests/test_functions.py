@@ -16,7 +16,7 @@ def one(spark, expr, **values):
 
 
 @pytest.mark.parametrize(("body", "keys"), [
-    ("Fixes MM-147 and also MM-147 / SALES-12 in branch", ["MM-147", "SALES-12"]), ("xMM-147 MM-1234567 M-1 aB-2", []), ("AbC9-1.", ["AbC9-1"]), ("", []), (None, None),
+    ("Closes QX-901, later QX-901 and DEPOT-7 again", ["QX-901", "DEPOT-7"]), ("xQX-901 QX-1234567 Q-1 aB-2", []), ("AbC9-1.", ["AbC9-1"]), ("", []), (None, None),
 ])
 def test_issue_keys(spark, body, keys):
     assert one(spark, text.issue_keys(F.col("b")), b=body) == keys
@@ -44,6 +44,19 @@ def test_chunks(spark, n, count):
     assert len(got) == count and sum(map(len, got)) - 150 * max(0, count - 1) == n
 
 
+@pytest.mark.parametrize("n", [0, 1, 1200, 1201, 2251])
+def test_chunk_rows(spark, n):
+    body = " " + "".join(chr(97 + i % 26) for i in range(n)) + "\n"
+    d = spark.createDataFrame([(1, body), (2, None)], "id int, b string")
+    got = [r.chunk for r in text.chunk_rows(d, "b").orderBy("ordinal").collect()]
+    assert got == one(spark, text.chunks(F.col("b")), b=body)
+
+
+def test_chunk_rows_of_a_very_long_text(spark):
+    d = spark.range(1).select(F.repeat(F.lit("abcdé "), 850_000).alias("b"))
+    assert text.chunk_rows(d, "b").agg(F.count("*"), F.sum(F.length("chunk"))).first()[0] == 1 + -(-(5_099_999 - 1200) // 1050)
+
+
 def test_excerpt(spark):
     assert one(spark, text.excerpt(F.col("b"), "Needle"), b="a NEEDLE\nb") == "a **NEEDLE** b"
     long = one(spark, text.excerpt(F.col("b"), "needle"), b="x" * 100 + "needle" + "y" * 200)
@@ -82,10 +95,10 @@ def test_blocks():
 
 
 SOURCES = {
-    "python": ("import os\nfrom .helpers import greet\n\nclass A:\n    def main(self):\n        greet('x')\n        os.path.join('a')\n", ["m::A", "m::A::main"], ["os", ".helpers"], {("m::A::main", "greet"), ("m::A::main", "join")}),
-    "rust": ("mod math;\nuse crate::math::sum;\n\npub fn run() -> i32 {\n    sum(1, 2)\n}\nstruct P { x: i32 }\nimpl P {\n    fn get(&self) -> i32 {\n        helper()\n    }\n}\n", ["m::math", "m::run", "m::P", "m::get"], ["crate::math::sum"], {("m::run", "sum"), ("m::get", "helper")}),
-    "typescript": ("import { twice } from './math';\n\nexport function boot(): number {\n  return twice(21);\n}\nexport const f = (x: number) => {\n  boot();\n};\ninterface I {}\n", ["m::boot", "m::f", "m::I"], ["./math"], {("m::boot", "twice"), ("m::f", "boot")}),
-    "ruby": ("require_relative 'services/greeter'\n\nmodule App\n  class Runner\n    def call\n      Greeter.new.greet\n    end\n  end\nend\n", ["m::App", "m::App::Runner", "m::App::Runner::call"], ["services/greeter"], {("m::App::Runner::call", "new"), ("m::App::Runner::call", "greet")}),
+    "python": ("import json\nfrom .shelf import weigh\n\nclass Depot:\n    def stock(self):\n        weigh('crate')\n        json.dumps([])\n", ["m::Depot", "m::Depot::stock"], ["json", ".shelf"], {("m::Depot::stock", "weigh"), ("m::Depot::stock", "dumps")}),
+    "rust": ("mod shelf;\nuse crate::shelf::weigh;\n\npub fn load() -> u64 {\n    weigh(7)\n}\nstruct Crate { kg: u64 }\nimpl Crate {\n    fn lift(&self) -> u64 {\n        pulley()\n    }\n}\n", ["m::shelf", "m::load", "m::Crate", "m::lift"], ["crate::shelf::weigh"], {("m::load", "weigh"), ("m::lift", "pulley")}),
+    "typescript": ("import { weigh } from '../shelf';\n\nexport function load(): number {\n  return weigh(7);\n}\nexport const sort = (kg: number) => {\n  load();\n};\ninterface Crate {}\n", ["m::load", "m::sort", "m::Crate"], ["../shelf"], {("m::load", "weigh"), ("m::sort", "load")}),
+    "ruby": ("require 'depot/shelf'\n\nmodule Depot\n  class Crane\n    def lift\n      Pulley.build.haul\n    end\n  end\nend\n", ["m::Depot", "m::Depot::Crane", "m::Depot::Crane::lift"], ["depot/shelf"], {("m::Depot::Crane::lift", "build"), ("m::Depot::Crane::lift", "haul")}),
 }
 
 

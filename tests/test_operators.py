@@ -48,10 +48,12 @@ def brute_wikilink(target, docs):
 
 
 def test_wikilinks(spark):
-    docs = [("folder/Note B.md", "Note B", ["Bravo"]), ("Alpha.md", "First", ["Note A", "note b"]), ("x/y/Deep.md", "alpha", [])]
-    targets = ["Note B", "folder/Note B", "y/Deep", "Deep.md", "bravo", "FIRST", "ALPHA", "note a", "missing", "e/Note B"]
-    got = dict(rows(link.resolve_wikilinks(spark.createDataFrame([(1, x) for x in targets], "id int, target string"), spark.createDataFrame(docs, "path string, title string, aliases array<string>")), "target", "path"))
-    assert got == {x: brute_wikilink(x, docs) for x in targets}
+    docs = [("yard/Crane Log.md", "Crane Log", ["Hoist"]), ("Hoist.md", "First", ["Cargo", "crane log"]), ("x/y/Deep.md", "hoist", [])]
+    targets = ["Crane Log", "yard/Crane Log", "y/Deep", "Deep.md", "cargo", "FIRST", "HOIST", "crane log", "missing", "d/Crane Log"]
+    two = [("a", *d) for d in docs] + [("b", "y/Deep.md", "Deep", ["cargo"])]  # a second vault with a path tail of the first
+    links = spark.createDataFrame([(1, "a", x) for x in targets] + [(2, "b", x) for x in targets], "id int, source string, target string")
+    got = rows(link.resolve_wikilinks(links, spark.createDataFrame(two, "source string, path string, title string, aliases array<string>")), "source", "target", "path")
+    assert got == {(s, x, brute_wikilink(x, [d[1:] for d in two if d[0] == s])) for s in "ab" for x in targets}
 
 
 def test_mentions(spark):
