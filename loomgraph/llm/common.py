@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where it is unset (tests)."""
+    """The folder that all executors share, as the session names it; a local one only where it is unset and one process does it all (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(shared_dir, "local", None):
         shared_dir.local = tempfile.mkdtemp(prefix="spark-shared-")
     return f"file://{shared_dir.local}"
