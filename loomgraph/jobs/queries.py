@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import markup, text
+from loomgraph.jobs.index import note_columns
 from loomgraph.operators import graph, link, search
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -150,6 +151,24 @@ def html_to_text(spark, sf_dir):
     return p.select("page_id", "url", markup.html_to_text("html").alias("body"))
 
 
+@query(r"""
+with d as (select doc_id, source, lang, '# ' || source || ' note' || chr(10) || 'See [[' || source || '/n' || doc_id || '#part|it]], [[pic.png]] and #' || lang || '.' || chr(10) || text body from documents),
+w as (select doc_id, [substring(x, 2) for x in string_split_regex(body, '[\s.,;:!?()\[\]{}]') if regexp_full_match(x, '#[A-Za-z0-9_-]+')] inline from d)
+select doc_id, case when doc_id % 2 = 0 then source || ': ' || doc_id else source || ' note' end title, case when doc_id % 2 = 0 then 'd' || doc_id else '' end aliases,
+  (select string_agg(x, ',' order by x) from (select distinct unnest(case when doc_id % 2 = 0 then list_concat([source, 'lang-' || lang], inline) else inline end) x)) tags,
+  source || '/n' || doc_id link, md5(body) body_md5
+from d join w using (doc_id)
+""")
+def note_documents(spark, sf_dir):
+    """Documents as notes, every second one with front matter: title, aliases, tags, first link and body."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    body = F.concat(F.lit("# "), "source", F.lit(" note\nSee [["), "source", F.lit("/n"), "doc_id", F.lit("#part|it]], [[pic.png]] and #"), "lang", F.lit(".\n"), "text")
+    head = F.concat(F.lit('---\ntitle: "'), "source", F.lit(": "), "doc_id", F.lit('"\ntags: ['), "source", F.lit(", lang-"), "lang", F.lit("]\naliases:\n  - d"), "doc_id", F.lit("\n---\n"))
+    raw = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(head, body)).otherwise(body).alias("raw"))
+    n = raw.withColumns(note_columns(F.col("raw"), F.lit("notes/n.md")))
+    return n.select("doc_id", "title", F.array_join("aliases", ",").alias("aliases"), F.array_join(F.array_sort("tags"), ",").alias("tags"), F.get("links", F.lit(0)).alias("link"), F.md5("body").alias("body_md5"))
+
+
 _ISSUES = r"select event_id, 'fixes ' || upper(event_type) || '-' || json_extract_string(props, '$.k') || ' and ' || upper(event_type) || '-' || json_extract_string(props, '$.k') body, user_id from events"
 
 
@@ -318,6 +337,28 @@ def hybrid_fusion(spark, sf_dir):
     return search.merge_channels(v, lexical, ["query_id", "id"]).select("query_id", "id", F.round("total", 5).alias("total"))
 
 
+NEEDLES = ("the", "license", "and", "copyright")
+_CASES = " union all ".join(f"select {i} as need, '{n}' as needle" for i, n in enumerate(NEEDLES))
+
+
+@query(_CHUNKS + f", nd as ({_CASES}), f as (select need, doc_id, count(*) n from c join nd on contains(lower(chunk), needle) group by all), " + "lx as (select need, doc_id, n from (select *, row_number() over (partition by need order by n desc, doc_id) nth from f) where nth <= 10), " + _KNN.format(where="").strip()[5:] + """,
+v as (select query_id, id, 1 / (1 + greatest(round(d, 9), 0)) score from k where nth <= 10),
+lq as (select e.vec_id query_id, lx.doc_id id, lx.n from embeddings e join lx on lx.need = e.label % 4 where e.vec_id % 100 = 0),
+m as (select coalesce(v.query_id, lq.query_id) query_id, coalesce(v.id, lq.id) id, 0.6 * coalesce(score, 0) + 0.1 * coalesce(n, 0) total,
+  case when n is null then 'vector' when score is null then 'lexical' else 'both' end channel from v full join lq on lq.query_id = v.query_id and lq.id = v.id),
+r as (select *, row_number() over (partition by query_id order by round(total, 9) desc, id) nth from m)
+select query_id, id, channel, round(total, 5) total, cast(nth as int) "rank" from r where nth <= 15
+""")
+def semantic_search(spark, sf_dir):
+    """Ranked hits of both channels for each query; its label names the needle of the lexical one, whose top ten documents count."""
+    v = _knn(spark, sf_dir).select("query_id", "id", search.distance_to_score(F.col("distance")).alias("score"))
+    held = F.filter(F.array(*(F.when(search.has(n, "chunk"), F.lit(i)) for i, n in enumerate(NEEDLES))), lambda x: x.isNotNull())
+    n = _chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(held).alias("need")).groupBy("need", "id").agg(F.count(F.lit(1)).alias("n"))
+    top = search.first_per_source(n, [F.col("n").desc(), F.col("id")], 10, "need").drop("nth")
+    q = t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), (F.col("label") % 4).alias("need"))
+    return search.ranked(v, q.join(top, "need").drop("need"), 15).select("query_id", "id", "channel", F.round("total", 5).alias("total"), "rank")
+
+
 # --- graph -------------------------------------------------------------------------------------------
 
 _EDGES = """
@@ -364,6 +405,14 @@ def bfs_depth2(spark, sf_dir):
     return graph.neighborhood(edges(spark, sf_dir), _nations(spark, sf_dir)).select("root", "node", "level", "truncated")
 
 
+@query(_BFS + """, n as (select root, node, truncated from k where nth <= 40)
+select distinct a.root, e.relation, e.src, e.dst, a.truncated from e join n a on a.node = e.src join n c on c.root = a.root and c.node = e.dst
+""")
+def neighborhood_edges(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.edges_within(e, graph.neighborhood(e, _nations(spark, sf_dir)))
+
+
 _NODES = """select 'r' || r_regionkey id, 'region' kind, r_name label from region union all select 'n' || n_nationkey, 'nation', n_name from nation
 union all select 'c' || c_custkey, 'customer', c_name from customer union all select 's' || s_suppkey, 'supplier', s_name from supplier"""
 

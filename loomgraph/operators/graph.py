@@ -23,20 +23,31 @@ def neighbors(edges: DataFrame, roots: DataFrame, limit: int = 25) -> DataFrame:
 def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 40) -> DataFrame:
     """Breadth-first from every root at once: root, node, level, truncated; at most limit nodes of a root.
 
-    Each level is one join of the frontier; a level keeps what fits, by node order.
+    A level is one join of the frontier, of which limit + 1 nodes by node order are kept: as levels come
+    before node order, no further one can be among the first limit. A root with more of them is done.
     """
     steps = both_ways(edges).select(F.col("node").alias("at"), "other").distinct()
     seen = roots.select(F.col("node").alias("root"), F.col("node").alias("node"), F.lit(0).alias("level")).distinct()
     frontier = seen
+    by_node = W.partitionBy("root").orderBy("node")
     for level in range(1, depth + 1):
         found = frontier.select("root", F.col("node").alias("at")).join(steps, "at").select("root", F.col("other").alias("node")).distinct()
-        frontier = found.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level))
+        fresh = found.join(seen, ["root", "node"], "left_anti").withColumn("nth", F.row_number().over(by_node)).where(F.col("nth") <= limit + 1)
+        frontier = fresh.select("root", "node", F.lit(level).alias("level"))
         seen = seen.unionByName(frontier)
+        frontier = frontier.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("root"))).where(F.col("n") <= limit).drop("n")
     w = W.partitionBy("root").orderBy("level", "node")
     total = F.count(F.lit(1)).over(W.partitionBy("root"))
     return seen.withColumns({"nth": F.row_number().over(w), "truncated": total > limit}).where(F.col("nth") <= limit)
 
 
+def edges_within(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges whose both ends are in a root's neighbourhood: root, relation, src, dst, truncated."""
+    ends = found.select("root", "node", "truncated")
+    near = edges.join(ends.withColumnRenamed("node", "src"), "src")
+    return near.join(ends.select("root", F.col("node").alias("dst")), ["root", "dst"], "left_semi").select("root", "relation", "src", "dst", "truncated").distinct()
+
+
 def describe(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """ids(id) -> id, kind, label: title, name or key; nodes that are gone drop out."""
     return ids.select("id").distinct().join(nodes.select("id", "kind", F.coalesce("title", "name", "key").alias("label")), "id")

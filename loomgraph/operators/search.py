@@ -89,6 +89,14 @@ def merge_channels(vector_hits: DataFrame, lexical_hits: DataFrame, keys: list[s
     return out.withColumn("total", VECTOR * F.coalesce("score", F.lit(0.0)) + LEXICAL * F.coalesce("n", F.lit(0)))
 
 
+def ranked(vector_hits: DataFrame, lexical_hits: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One list a query: query_id, id, total, channel, rank; what only one channel finds is there as well."""
+    both = merge_channels(vector_hits, lexical_hits, ["query_id", "id"])
+    channel = F.when(F.col("n").isNull(), "vector").when(F.col("score").isNull(), "lexical").otherwise("both")
+    w = W.partitionBy("query_id").orderBy(F.round("total", 9).desc(), "id")
+    return both.withColumns({"channel": channel, "rank": F.row_number().over(w)}).where(F.col("rank") <= limit)
+
+
 def graph_boost(hits: DataFrame, edges: DataFrame, roots: int = 3) -> DataFrame:
     """hits(parent, score, nth) and edges(src, dst): each edge of the top roots' neighbourhoods lifts its first hit.
 

@@ -88,6 +88,7 @@ def test_graph(spark, edges):
     assert rows(graph.neighborhood(edges, roots), "node", "level") == {("a", 0), ("b", 1), ("c", 1), ("d", 1), ("e", 2)}
     cut = graph.neighborhood(edges, roots, limit=2)
     assert rows(cut, "node", "truncated") == {("a", True), ("b", True)}
+    assert rows(graph.edges_within(edges, cut), "src", "dst", "truncated") == {("a", "b", True)}
     nodes = spark.createDataFrame([(x, "k", None, x, x) for x in "abcdefg"], "id string, kind string, title string, name string, key string")
     left, rest = graph.cascade_delete(nodes, edges, spark.createDataFrame([("a",)], "id string"))
     assert left.count() == 6 and rows(rest, "src") == {("c",), ("e",), ("g",)}
@@ -151,3 +152,10 @@ def test_hourly_stream(spark, tmp_path):
     q.awaitTermination(60)
     want = {(r.h, r.event_type, r.n) for r in batch.groupBy(F.date_trunc("hour", "ts").cast("timestamp").alias("h"), "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert rows(spark.table("hourly"), "hour", "event_type", "n") == want
+
+
+def test_ranked_keeps_hits_of_one_channel(spark):
+    v = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.4)], "query_id long, id long, score double")
+    t = spark.createDataFrame([(1, 11, 2), (1, 12, 3)], "query_id long, id long, n long")
+    assert rows(search.ranked(v, t), "id", "channel", "rank") == {(10, "vector", 1), (11, "both", 2), (12, "lexical", 3)}
+    assert rows(search.ranked(v, t, 1), "id") == {(10,)}
