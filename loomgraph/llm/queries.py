@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontamination, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, suffix_dedup
+from loomgraph.llm import decontamination, fill_middle, filter_audit, line_dedup, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_warc": warc.op13_warc,
 }
-#: None: Newton steps, fingerprints, networks and propagation are not for SQL; tests hold them against brute force.
-SQL: dict[str, str] = {}
+#: Newton steps, fingerprints, networks and propagation are not for SQL; tests hold those queries against brute force.
+SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL, "op12_fill_middle": fill_middle.SQL, "op13_warc": warc.SQL}
