@@ -1,34 +1,49 @@
-"""Markup to text: HTML pages, wiki documents (ADF) and workspace blocks, as Arrow-batched functions."""
+"""Markup to text: HTML pages and workspace blocks as column expressions, wiki documents (ADF) Arrow-batched."""
 
 from __future__ import annotations
 
-import html as _html
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "blockquote", "pre", "section", "article"}
-_SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)?[^>]*>", re.S)
+#: Entities with names, and what they stand for.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": " ", "mdash": "—", "ndash": "–", "aacute": "á", "Aacute": "á", "eacute": "é", "Eacute": "é",
+    "iacute": "í", "Iacute": "í", "oacute": "ó", "Oacute": "ó", "uacute": "ú", "Uacute": "ú", "ntilde": "ñ", "Ntilde": "Ñ",
+}
+#: Tags that begin a new line, by how they start.
+BLOCK_TAG = r"(?i)<(?:p|br|div|h[123]|li|tr|/p|/div|/h|/li|/tr)[^>]*(?:>|\z)"
+#: Blanks of Unicode but for the line end.
+BLANKS = r"[\t\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+PIECES = r"&#[0-9]{1,9};|&#[xX][0-9a-fA-F]{1,7};|&[A-Za-z]{1,10};|[^&]+|&"
 
 
-def html_text(page: str | None) -> str:
-    """Readable text: scripts and styles out, a new line at block tags, entities decoded, blanks collapsed."""
-    if not page:
-        return ""
-    flat = _TAG.sub(lambda m: "\n" if (m[2] or "").lower() in BLOCKS else "", _SKIP.sub("", page))
-    lines = (" ".join(line.split()) for line in _html.unescape(flat).split("\n"))
-    return "\n".join(line for line in lines if line)
+def entities(text: Column) -> Column:
+    """Entities decoded in one pass, so that what comes out of one isn't decoded again; unknown ones stay."""
 
+    def one(piece: Column) -> Column:
+        number = F.when(F.startswith(piece, F.lit("&#")), F.when(F.lower(F.substring(piece, 3, 1)) == "x", F.conv(F.regexp_extract(piece, "[xX](.*);", 1), 16, 10)).otherwise(F.regexp_extract(piece, "([0-9]+);", 1))).try_cast("long")
+        scalar = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        shown = F.when(scalar, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        named = F.create_map(*(F.lit(x) for name, sign in ENTITIES.items() for x in (f"&{name};", sign)))
+        return F.when(F.startswith(piece, F.lit("&")), F.coalesce(F.try_element_at(named, piece), shown, piece)).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), one), "")).otherwise(text)
 
-@F.pandas_udf(StringType())
-def html_to_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in pages:
-        yield batch.map(html_text, na_action=None)
+
+def html_text(page: Column) -> Column:
+    """Readable text: scripts, styles and comments cut out whole, a new line at block tags, entities decoded, blanks collapsed, at most one empty line in a row."""
+    s = F.coalesce(page, F.lit(""))
+    for cut in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->"):
+        s = F.regexp_replace(s, cut, "")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\x01", " "), BLOCK_TAG, "\x01"), r"<[^>]*(?:>|\z)", "")
+    s = entities(F.regexp_replace(F.regexp_replace(s, "\n\x01+", "\n"), "\x01+", "\n"))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, BLANKS, " "), " ?\n ?", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^\n+", ""), "\n{3,}", "\n\n"), r"\n+\z", "")
 
 
 def adf_text(node: dict | list | None) -> str:
@@ -63,40 +78,52 @@ def adf_text(node: dict | list | None) -> str:
 
 @F.pandas_udf(StringType())
 def adf_to_text(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A tree of any depth is no column expression; a plain string is its own text."""
+
     def one(value: str | None) -> str:
         try:
             return adf_text(json.loads(value)).strip() if value else ""
         except ValueError:
-            return ""
+            return value.strip() if value[:1] not in "{[" else ""
 
     for batch in docs:
         yield batch.map(one, na_action=None)
 
 
-#: How each kind of workspace block is led in.
-LEADS = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> ", "callout": "> "}
-
-
-def block_text(block: dict) -> str:
-    """One line of Markdown for a workspace block."""
-    kind = block.get("type", "")
-    body = block.get(kind) or {}
-    text = "".join(t.get("plain_text", "") for t in body.get("rich_text") or [])
-    if kind in ("child_page", "child_database"):
-        return body.get("title", "")
-    if kind == "divider":
-        return "---"
-    if kind == "to_do":
-        return f"- [{'x' if body.get('checked') else ' '}] {text}"
-    if kind == "code":
-        return f"```{body.get('language', '')}\n{text}\n```"
-    if kind in ("bookmark", "embed", "link_preview"):
-        return body.get("url", "")
-    return LEADS.get(kind, "") + text
-
-
-def page_title(properties: dict) -> str:
-    for value in properties.values():
-        if value.get("type") == "title":
-            return "".join(t.get("plain_text", "") for t in value.get("title") or []) or "Untitled"
-    return "Untitled"
+#: How each kind of workspace block is led in, and ended.
+LEADS = {
+    "paragraph": ("", "\n\n"), "heading_1": ("# ", "\n\n"), "heading_2": ("## ", "\n\n"), "heading_3": ("### ", "\n\n"), "bulleted_list_item": ("- ", "\n"),
+    "numbered_list_item": ("- ", "\n"), "quote": ("> ", "\n\n"), "callout": ("> ", "\n\n"), "toggle": ("", "\n\n"),
+}
+SILENT = ("image", "file", "video", "pdf", "audio", "table", "column_list", "column", "synced_block")
+
+
+def rich_text(items: Column) -> Column:
+    """Plain text of a JSON list of runs."""
+    return F.coalesce(F.array_join(F.from_json(items, "array<struct<plain_text:string>>")["plain_text"], ""), F.lit(""))
+
+
+def block_text(block: Column) -> Column:
+    """Markdown of one workspace block, given as JSON, without its children."""
+    kind = F.coalesce(F.get_json_object(block, "$.type"), F.lit(""))
+    body = F.try_element_at(F.from_json(block, "map<string,string>"), kind)
+    field = lambda path: F.get_json_object(body, path)
+    text = rich_text(F.coalesce(field("$.rich_text"), field("$.text")))
+    url = F.coalesce(field("$.url"), F.lit(""))
+    out = F.when(kind.isin("paragraph") & (text == ""), "")
+    for name, (before, after) in LEADS.items():
+        out = out.when(kind == name, F.concat(F.lit(before), text, F.lit(after)))
+    return (
+        out.when(kind == "to_do", F.concat(F.lit("- ["), F.when(field("$.checked") == "true", "x").otherwise(" "), F.lit("] "), text, F.lit("\n")))
+        .when(kind == "code", F.concat(F.lit("```"), F.coalesce(field("$.language"), F.lit("")), F.lit("\n"), text, F.lit("\n```\n\n"))).when(kind == "divider", "---\n\n")
+        .when(kind == "child_page", F.concat(F.lit("[page: "), F.coalesce(field("$.title"), F.lit("child page")), F.lit("]\n\n")))
+        .when(kind == "child_database", F.concat(F.lit("[database: "), F.coalesce(field("$.title"), F.lit("database")), F.lit("]\n\n")))
+        .when(kind.isin("bookmark", "link_preview", "embed"), F.when(url == "", "").otherwise(F.concat(url, F.lit("\n\n")))).when(kind.isin(*SILENT) | (text == ""), "").otherwise(F.concat(text, F.lit("\n")))
+    )
+
+
+def page_title(properties: Column) -> Column:
+    """The first title that isn't blank among a page's properties, given as JSON, by their names."""
+    found = F.array_sort(F.map_entries(F.from_json(properties, "map<string,struct<type:string,title:array<struct<plain_text:string>>>>")))
+    titles = F.transform(F.filter(found, lambda e: e["value"]["type"] == "title"), lambda e: F.trim(F.array_join(e["value"]["title"]["plain_text"], "")))
+    return F.coalesce(F.get(F.filter(titles, lambda x: x != ""), F.lit(0)), F.lit("Untitled"))

@@ -38,6 +38,13 @@ def language(path: Column) -> Column:
     )
 
 
+def folded(path: Column) -> Column:
+    """A relative path with `.`, `..` and empty parts folded; null for one that climbs out of the root."""
+    parts = F.filter(F.split(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    up = lambda s, p: F.when(p != "..", F.concat(s, F.array(p))).when(F.size(s) > 0, F.slice(s, 1, F.size(s) - 1))
+    return F.aggregate(parts, F.array().cast("array<string>"), up, lambda s: F.array_join(s, "/"))
+
+
 def module_path(path: Column) -> Column:
     """Path to module name: known suffixes off, slashes to `::`."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.(tsx|ts|rs|py|rb)$", ""), "/(mod|index)$", ""), "/", "::")
@@ -147,3 +154,12 @@ def parse_token(value: Column) -> Column:
     """kind:source:key, cut at the first two colons."""
     p = F.split(value, ":", 3)
     return F.struct(F.get(p, 0).alias("kind"), F.get(p, 1).alias("source"), F.get(p, 2).alias("key"))
+
+
+def canonical_token(value: Column) -> Column:
+    """A token with its kind's usual name; null for an unknown kind, or a blank source or key."""
+    p = F.split(value, ":", 3)
+    kind = F.lower(F.get(p, 0))
+    kind = F.when(kind.isin("decision", "architecture_decision", "adr"), "decision").when(kind.isin("symbol", "file", "document"), kind)
+    source, key = F.get(p, 1), F.get(p, 2)
+    return F.when(kind.isNotNull() & (source != "") & (key != ""), F.concat_ws(":", kind, source, key))

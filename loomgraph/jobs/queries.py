@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import markup, text
-from loomgraph.jobs.index import note_columns
+from loomgraph.jobs.index import import_bases
 from loomgraph.operators import graph, link, search
+from loomgraph.sources import services
+from loomgraph.sources.connectors import note_fields
+from loomgraph.streaming import watch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 NEEDLE = "license"
@@ -145,28 +148,67 @@ def fts_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir).where(search.has(NEEDLE, "chunk")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_ENTITY = " ".join(f"when '&{name};' then '{sign}'" for name, sign in markup.ENTITIES.items())
+_HTML = rf"""
+with s as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script\s*>', '', 'gis'), '<style\b.*?</style\s*>', '', 'gis'), '<!--.*?-->', '', 'gs') x from pages),
+g as (select page_id, url, regexp_replace(regexp_replace(replace(x, chr(1), ' '), '<(?:p|br|div|h[123]|li|tr|/p|/div|/h|/li|/tr)[^>]*(?:>|\z)', chr(1), 'gi'), '<[^>]*(?:>|\z)', '', 'g') x from s),
+e as (select page_id, url, regexp_replace(regexp_replace(x, chr(10) || chr(1) || '+', chr(10), 'g'), chr(1) || '+', chr(10), 'g') x from g),
+p as (select page_id, url, regexp_extract_all(x, '{markup.PIECES}') pieces from e),
+n as (select page_id, url, array_to_string(list_transform(pieces, lambda q: case q {_ENTITY} else
+  case when regexp_full_match(q, '&#[xX][0-9a-fA-F]+;') then coalesce(chr(cast('0x' || regexp_extract(q, '[xX](.*);', 1) as int)), q)
+       when regexp_full_match(q, '&#[0-9]+;') then coalesce(chr(cast(regexp_extract(q, '([0-9]+);', 1) as int)), q) else q end end), '') x from p),
+w as (select page_id, url, trim(regexp_replace(regexp_replace(x, '{markup.BLANKS}', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ') x from n)
+select page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '^\n+', ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '\n+\z', '') body from w
+"""
+
+
+@query(_HTML)
 def html_to_text(spark, sf_dir):
-    p = t(spark, sf_dir, "pages")
-    return p.select("page_id", "url", markup.html_to_text("html").alias("body"))
+    return t(spark, sf_dir, "pages").select("page_id", "url", markup.html_text(F.col("html")).alias("body"))
+
+
+@query("""
+with recursive b as (
+  select conv_id, turn, case when turn = 0 then 'p' || conv_id else conv_id || ':' || ((turn - 1) // 2) end parent, conv_id || ':' || turn id,
+    case role when 'user' then case when coalesce("text", '') = '' then '' else "text" || chr(10) || chr(10) end when 'assistant' then '> ' || coalesce("text", '') || chr(10) || chr(10) else '## ' || coalesce("text", '') || chr(10) || chr(10) end piece
+  from conversations),
+w as (select parent root, id, lpad(cast(row_number() over (partition by parent order by turn) as varchar), 3, '0') path, piece, 0 depth from b where turn = 0
+  union all select w.root, c.id, w.path || c.nth, c.piece, w.depth + 1 from w join (select *, lpad(cast(row_number() over (partition by parent order by turn) as varchar), 3, '0') nth from b) c on c.parent = w.id where w.depth < 3)
+select p.root id, count(w.id) n_blocks, md5(coalesce(string_agg(w.piece, '' order by w.path), '')) text_md5 from (select distinct 'p' || conv_id root from conversations) p left join w on w.root = p.root group by p.root
+""")
+def block_trees(spark, sf_dir):
+    """Conversations as workspace pages: a turn is a block below turn (n - 1) / 2, its role the kind of block; four levels are read."""
+    c = t(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "paragraph").when(F.col("role") == "assistant", "quote").otherwise("heading_2")
+    id_ = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    page = F.concat(F.lit("p"), F.col("conv_id").cast("string"))
+    parent = F.when(F.col("turn") == 0, page).otherwise(id_(F.expr("(turn - 1) div 2")))
+    body = F.create_map(kind, F.struct(F.array(F.struct(F.coalesce("text", F.lit("")).alias("plain_text"))).alias("rich_text")))
+    head = F.to_json(F.struct(id_(F.col("turn")).alias("id"), kind.alias("type"), F.lit(True).alias("has_children")))
+    blocks = c.withColumns({"h": head, "m": F.to_json(body)}).select(parent.alias("parent"), F.col("turn").alias("ord"), F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(","), F.expr("substring(m, 2)")).alias("block"))
+    roots = c.select(page.alias("id")).distinct()
+    texts = services.block_texts(roots, blocks)
+    within = F.when(F.col("turn") < 15, 1)  # the first four levels
+    counts = c.groupBy(page.alias("id")).agg(F.count(within).alias("n_blocks"))
+    return texts.join(counts, "id").select("id", "n_blocks", F.md5("text").alias("text_md5"))
 
 
 @query(r"""
-with d as (select doc_id, source, lang, '# ' || source || ' note' || chr(10) || 'See [[' || source || '/n' || doc_id || '#part|it]], [[pic.png]] and #' || lang || '.' || chr(10) || text body from documents),
+with d as (select doc_id, source, lang, '# ' || source || ' note' || chr(10) || 'See [[' || source || '/n' || doc_id || '#part|it]], [[pic.png]], [[' || lang || ' notes]] and #' || lang || '.' || chr(10) || text body from documents),
 w as (select doc_id, [substring(x, 2) for x in string_split_regex(body, '[\s.,;:!?()\[\]{}]') if regexp_full_match(x, '#[A-Za-z0-9_-]+')] inline from d)
 select doc_id, case when doc_id % 2 = 0 then source || ': ' || doc_id else source || ' note' end title, case when doc_id % 2 = 0 then 'd' || doc_id else '' end aliases,
   (select string_agg(x, ',' order by x) from (select distinct unnest(case when doc_id % 2 = 0 then list_concat([source, 'lang-' || lang], inline) else inline end) x)) tags,
-  source || '/n' || doc_id link, md5(body) body_md5
+  source || '/n' || doc_id || ',' || lang || ' notes' links, md5(body) body_md5
 from d join w using (doc_id)
 """)
 def note_documents(spark, sf_dir):
-    """Documents as notes, every second one with front matter: title, aliases, tags, first link and body."""
+    """Documents as notes, every second one with front matter: title, aliases, tags, links and body."""
     d = t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    body = F.concat(F.lit("# "), "source", F.lit(" note\nSee [["), "source", F.lit("/n"), "doc_id", F.lit("#part|it]], [[pic.png]] and #"), "lang", F.lit(".\n"), "text")
+    body = F.concat(F.lit("# "), "source", F.lit(" note\nSee [["), "source", F.lit("/n"), "doc_id", F.lit("#part|it]], [[pic.png]], [["), "lang", F.lit(" notes]] and #"), "lang", F.lit(".\n"), "text")
     head = F.concat(F.lit('---\ntitle: "'), "source", F.lit(": "), "doc_id", F.lit('"\ntags: ['), "source", F.lit(", lang-"), "lang", F.lit("]\naliases:\n  - d"), "doc_id", F.lit("\n---\n"))
     raw = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(head, body)).otherwise(body).alias("raw"))
-    n = raw.withColumns(note_columns(F.col("raw"), F.lit("notes/n.md")))
-    return n.select("doc_id", "title", F.array_join("aliases", ",").alias("aliases"), F.array_join(F.array_sort("tags"), ",").alias("tags"), F.get("links", F.lit(0)).alias("link"), F.md5("body").alias("body_md5"))
+    n = note_fields(raw, "raw", F.lit("notes/n.md"))
+    return n.select("doc_id", "title", F.array_join("aliases", ",").alias("aliases"), F.array_join(F.array_sort("tags"), ",").alias("tags"), F.array_join("links", ",").alias("links"), F.md5("body").alias("body_md5"))
 
 
 _ISSUES = r"select event_id, 'fixes ' || upper(event_type) || '-' || json_extract_string(props, '$.k') || ' and ' || upper(event_type) || '-' || json_extract_string(props, '$.k') body, user_id from events"
@@ -277,6 +319,36 @@ def _wikilinks(spark, sf_dir) -> DataFrame:
     return link.resolve_wikilinks(links, docs).drop("source")
 
 
+@query("""
+with n as (select doc_id, source, source || '/n' || doc_id || '.md' path, 'Title ' || doc_id title, 'Also ' || doc_id alias from documents),
+l as (select doc_id, source, unnest(['n' || (doc_id + 20), 'title ' || (doc_id + 40), 'ALSO ' || (doc_id + 60), 'n' || (doc_id + 1), source || '/n' || doc_id || '.md']) target from documents),
+k as (select source, path, key, tier from (select source, path, unnest([path, replace(path, '.md', ''), 'n' || doc_id || '.md', 'n' || doc_id]) key, 1 tier from n) union all select source, path, lower(title), 2 from n union all select source, path, lower(alias), 3 from n)
+select distinct l.doc_id id, l.target, (select arg_min(k.path, (k.tier, k.path)) from k where k.source = l.source and k.key = case when k.tier = 1 then l.target else lower(l.target) end) path from l
+""")
+def note_links(spark, sf_dir):
+    """Documents as notes that link by path tail, by title and by alias in other case, to a note of another source, and to themselves."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "source")
+    id_ = lambda k=0: (F.col("doc_id") + k).cast("string")
+    path = F.concat("source", F.lit("/n"), id_(), F.lit(".md"))
+    notes = d.select("source", path.alias("path"), F.concat(F.lit("Title "), id_()).alias("title"), F.array(F.concat(F.lit("Also "), id_())).alias("aliases"))
+    targets = F.array(F.concat(F.lit("n"), id_(20)), F.concat(F.lit("title "), id_(40)), F.concat(F.lit("ALSO "), id_(60)), F.concat(F.lit("n"), id_(1)), path)
+    return link.resolve_wikilinks(d.select(F.col("doc_id").alias("id"), "source", F.explode(targets).alias("target")), notes).select("id", "target", "path")
+
+
+@query(_IMPORTS[: _IMPORTS.index("w as (")].replace("select distinct regexp_replace", "select distinct page_id, regexp_replace").rstrip(", \n") + """,
+w as (select a.page_id id, regexp_replace(b.path, '/+$', '') base from p a join p b on b.page_id = a.page_id + 1 where len(string_split(regexp_replace(a.path, '/[^/]*$', ''), '/')) = 2),
+e as (select unnest(['', '.ts', '.tsx', '.rs', '.py', '.rb', '/mod.rs', '/index.ts', '/index.tsx', '/__init__.py']) ending, generate_subscripts(['', '.ts', '.tsx', '.rs', '.py', '.rb', '/mod.rs', '/index.ts', '/index.tsx', '/__init__.py'], 1) k)
+select w.id, arg_min(p.path, (e.k, p.path)) path from w cross join e join p on p.path = w.base || e.ending group by w.id
+""")
+def import_folded(spark, sf_dir):
+    """Pages two folders deep that import the next page by way of `../..`."""
+    p = t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.concat(F.lit("./../../"), "path").alias("target"))
+    deep = F.size(F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")) == 2
+    wanted = import_bases(p.where(deep).join(after, "page_id").select(F.col("page_id").alias("id"), "path", "target"))
+    return link.resolve_imports(wanted.where("base_ord = 0"), p)
+
+
 @query(_WIKI + "select l.id, l.target, h.path from l left join h on h.id = l.id and h.target = l.target")
 def wikilink_resolve(spark, sf_dir):
     return _wikilinks(spark, sf_dir)
@@ -341,22 +413,53 @@ NEEDLES = ("the", "license", "and", "copyright")
 _CASES = " union all ".join(f"select {i} as need, '{n}' as needle" for i, n in enumerate(NEEDLES))
 
 
-@query(_CHUNKS + f", nd as ({_CASES}), f as (select need, doc_id, count(*) n from c join nd on contains(lower(chunk), needle) group by all), " + "lx as (select need, doc_id, n from (select *, row_number() over (partition by need order by n desc, doc_id) nth from f) where nth <= 10), " + _KNN.format(where="").strip()[5:] + """,
-v as (select query_id, id, 1 / (1 + greatest(round(d, 9), 0)) score from k where nth <= 10),
-lq as (select e.vec_id query_id, lx.doc_id id, lx.n from embeddings e join lx on lx.need = e.label % 4 where e.vec_id % 100 = 0),
-m as (select coalesce(v.query_id, lq.query_id) query_id, coalesce(v.id, lq.id) id, 0.6 * coalesce(score, 0) + 0.1 * coalesce(n, 0) total,
-  case when n is null then 'vector' when score is null then 'lexical' else 'both' end channel from v full join lq on lq.query_id = v.query_id and lq.id = v.id),
-r as (select *, row_number() over (partition by query_id order by round(total, 9) desc, id) nth from m)
-select query_id, id, channel, round(total, 5) total, cast(nth as int) "rank" from r where nth <= 15
-""")
+_SEMANTIC = _CHUNKS + f", nd as ({_CASES}), " + _KNN.format(where="").strip()[5:] + """,
+ci as (select distinct 'benchmark::i' || lpad(cast(item_id as varchar), 6, '0') fqn, unnest(regexp_extract_all(text, '[A-Za-z0-9_:]{2,}')) name from benchmark),
+ca as (select fqn, name from ci where length(name) >= 7), mk as (select name, min(fqn) fqn from ca group by name),
+m as (select distinct doc_id, fqn from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_:]{2,}')) token from documents) join mk on token = name),
+f as (select need, doc_id, count(*) n from c join nd on contains(lower(chunk), needle) group by all),
+lx as (select need, 'document:' || doc_id parent, 'chunk' channel, n "value", row_number() over (partition by need order by n desc, doc_id) nth from f
+  union all select need, 'document:' || doc_id, 'document', 1, row_number() over (partition by need order by doc_id) from documents join nd on contains(lower("text"), needle)
+  union all select need, 'symbol:' || fqn, 'symbol', 1, row_number() over (partition by need order by strlen(fqn), fqn) from (select distinct need, cs.fqn from ca cs join nd on contains(lower(cs.fqn), needle) or contains(lower(cs.name), needle))),
+al as (select query_id, 'document:' || id parent, 'vector' channel, 1 / (1 + greatest(round(d, 9), 0)) "value" from k where nth <= 10
+  union all select e.vec_id, lx.parent, lx.channel, lx."value" from embeddings e join lx on lx.need = e.label % 4 where e.vec_id % 100 = 0 and lx.nth <= 10),
+fu as (select query_id, parent, max(case when channel = 'vector' then "value" end) vector, sum(case when channel = 'chunk' then "value" end) chunk, sum(case when channel = 'symbol' then "value" end) symbol, sum(case when channel = 'document' then "value" end) document from al group by query_id, parent),
+sc as (select *, 0.6 * coalesce(vector, 0) + 0.1 * (coalesce(chunk, 0) + coalesce(symbol, 0) + coalesce(document, 0)) score from fu),
+li as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, parent) nth from sc) where nth <= 15),
+ed as (select 'document:' || doc_id src, 'symbol:' || fqn dst from m),
+bo as (select src node, dst other, 'out' direction from ed union all select dst, src, 'in' from ed),
+ro as (select distinct parent root from li where nth <= 3),
+ne as (select * from (select bo.*, row_number() over (partition by node order by direction, other) pl, count(*) over (partition by node) cn from bo join ro on ro.root = bo.node) where pl <= 25),
+nn as (select node, other, pl, 0.3 / (1 + least(1 + least(cn, 25), 15)) lift, cn >= 15 cut from ne where pl <= 15),
+ol as (select li.query_id, nn.* from li join nn on nn.node = li.parent where li.nth <= 3),
+fi as (select query_id, node, pl, lift, arg_min(parent, nth) parent from (select ol.*, li.parent, li.nth from ol join li on li.query_id = ol.query_id and li.parent in (ol.node, ol.other)) group by query_id, node, pl, lift),
+lf as (select query_id, parent, sum(lift) lift from fi group by query_id, parent),
+re as (select li.query_id, li.parent, vector, chunk, symbol, document, nth, coalesce(lift, 0) lift, score + coalesce(lift, 0) score,
+  coalesce((select bool_or(cut) from ol where ol.query_id = li.query_id), false) or count(*) over (partition by li.query_id) >= 15 truncated from li left join lf on lf.query_id = li.query_id and lf.parent = li.parent)
+select query_id, parent, round(vector, 5) vector, cast(chunk as double) chunk, cast(symbol as double) symbol, cast(document as double) document, round(lift, 6) lift, round(score, 5) score, truncated,
+  cast(row_number() over (partition by query_id order by round(score, 9) desc, nth) as int) "rank" from re
+"""
+
+
+@query(_SEMANTIC)
 def semantic_search(spark, sf_dir):
-    """Ranked hits of both channels for each query; its label names the needle of the lexical one, whose top ten documents count."""
-    v = _knn(spark, sf_dir).select("query_id", "id", search.distance_to_score(F.col("distance")).alias("score"))
-    held = F.filter(F.array(*(F.when(search.has(n, "chunk"), F.lit(i)) for i, n in enumerate(NEEDLES))), lambda x: x.isNotNull())
-    n = _chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(held).alias("need")).groupBy("need", "id").agg(F.count(F.lit(1)).alias("n"))
-    top = search.first_per_source(n, [F.col("n").desc(), F.col("id")], 10, "need").drop("nth")
+    """Each query's list over vectors, chunks, symbols and documents, lifted by the graph of mentions.
+
+    A query's label names the needle of its lexical channels, of which each gives its first ten.
+    """
     q = t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), (F.col("label") % 4).alias("need"))
-    return search.ranked(v, q.join(top, "need").drop("need"), 15).select("query_id", "id", "channel", F.round("total", 5).alias("total"), "rank")
+    needs = lambda *columns: F.explode(F.filter(F.array(*(F.when(search.has(n, *columns), F.lit(i)) for i, n in enumerate(NEEDLES))), lambda x: x.isNotNull())).alias("need")
+    doc, symbol = F.concat(F.lit("document:"), F.col("doc_id").cast("string")), F.concat(F.lit("symbol:"), "fqn")
+    chunk = _chunks(spark, sf_dir).select("doc_id", needs("chunk")).groupBy("need", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    top = lambda found, order: q.join(search.first_per_source(found, order, 10, "need").drop("nth"), "need")
+    chunk = search.hits(top(chunk, [F.col("n").desc(), F.col("doc_id")]), "chunk", doc, F.col("n"))
+    document = search.hits(top(t(spark, sf_dir, "documents").select("doc_id", needs("text")), [F.col("doc_id")]), "document", doc)
+    named = _catalog_of_items(spark, sf_dir).select("fqn", needs("fqn", "name")).distinct()
+    named = search.hits(top(named, [F.octet_length("fqn"), F.col("fqn")]), "symbol", symbol)
+    vector = search.hits(_knn(spark, sf_dir).withColumnRenamed("id", "doc_id"), "vector", doc, search.distance_to_score(F.col("distance")))
+    mentions = _mentions(spark, sf_dir).select(F.lit("mentions").alias("relation"), doc.alias("src"), symbol.alias("dst"))
+    out = search.lifted(search.fused(vector.unionByName(chunk).unionByName(document).unionByName(named), 15), mentions, limit=15)
+    return out.select("query_id", "parent", F.round("vector", 5).alias("vector"), "chunk", "symbol", "document", F.round("lift", 6).alias("lift"), F.round("score", 5).alias("score"), "truncated", "rank")
 
 
 # --- graph -------------------------------------------------------------------------------------------
@@ -468,18 +571,49 @@ def context_bundle(spark, sf_dir):
     return near.join(labels, "other", "left").select("node", "other", "relation", "direction", "label")
 
 
+LETTERS = ("a", "i", "9")
+_LETTER_CASES = " union all ".join(f"select '{x}' as letter" for x in LETTERS)
+
+
+@query("with " + _EDGES + _BOTH + f""", x as ({_NODES}), q as ({_LETTER_CASES}),
+s as (select letter, 'c' || c_custkey id, row_number() over (partition by letter order by strlen(c_name), c_name, c_custkey) nth from customer join q on contains(lower(c_name), letter)),
+d as (select letter, 'n' || n_nationkey id, row_number() over (partition by letter order by n_name) nth from nation join q on contains(lower(n_name), letter)),
+f as (select letter, id, 'symbol' section, nth from s where nth <= 20 union all select letter, id, 'document', nth from d where nth <= 20),
+top as (select distinct letter, id root from f where nth <= 3),
+r as (select *, row_number() over (partition by node, relation order by direction, other) nth from b where node in (select root from top)),
+o as (select *, row_number() over (partition by node order by relation, nth) pos from r where nth <= 25),
+p as (select *, row_number() over (partition by node order by pos) place from o where pos <= 25),
+re as (select top.letter, root, other id, relation, direction, place from top join p on p.node = root where place <= 20),
+t as (select letter, max(c) truncated from (select letter, count(*) >= 20 c from f group by letter, section union all select letter, place >= 20 from re) group by letter)
+select y.letter query_id, section, root, y.id, relation, direction, label, truncated, 'tables' source_filter from (
+  select letter, section, null root, id, null relation, null direction from f union all select letter, 'related', root, id, relation, direction from re where place < 20) y
+  left join x on x.id = y.id join t on t.letter = y.letter
+""")
+def explore_context(spark, sf_dir):
+    """Bundles for three needles: customers as symbols, nations as documents, the graph around the first three of each."""
+    n, c = t(spark, sf_dir, "nation"), t(spark, sf_dir, "customer")
+    held = lambda column: F.explode(F.filter(F.array(*(F.when(search.has(x, column), F.lit(x)) for x in LETTERS)), lambda x: x.isNotNull())).alias("query_id")
+    ask = F.lit("tables").alias("source_filter")
+    symbols = c.select(held("c_name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_name", "c_custkey", ask)
+    symbols = search.first_per_source(symbols, [F.octet_length("c_name"), F.col("c_name"), F.col("c_custkey")], 20, "query_id")
+    documents = search.first_per_source(n.select(held("n_name"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), "n_name", ask), [F.col("n_name")], 20, "query_id")
+    return search.explored(symbols, documents, edges(spark, sf_dir), nodes(spark, sf_dir), 20)
+
+
 # --- increments --------------------------------------------------------------------------------------
 
 @query("""
-select event_type, count(*) n, max(ts) high_water from events where ts >= date_trunc('minute', (select min(ts) + interval 10 day from events)) group by event_type
+with f as (select * from events where ts >= date_trunc('minute', (select min(ts) + interval 10 day from events)))
+select event_type, count(*) n, max(ts) high_water, (select max(ts) from f) next_cursor from f group by event_type
 """)
 def cursor_increment(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("event_type", "ts")
-    cursor = e.agg(F.min("ts").alias("m")).first()["m"]
-    if cursor is None:
-        return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("high_water"))
-    since = F.date_trunc("minute", F.lit(cursor) + F.expr("interval 10 days")).cast("timestamp_ntz")
-    return e.where(F.col("ts") >= since).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("high_water"))
+    """Events as issues, from a cursor ten days after the first: what an incremental run reads, and the cursor that it leaves."""
+    e = t(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("updated"))
+    cursor = e.agg(F.date_format(F.min("updated") + F.expr("interval 10 days"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("m")).first()["m"]
+    found = services.updated_since(e, cursor or "1970-01-01 00:00:00")
+    after = services.high_water(found).select(F.col("updated").cast("timestamp_ntz").alias("next_cursor"))
+    by_type = found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("updated").cast("timestamp_ntz").alias("high_water"))
+    return by_type.join(F.broadcast(after), how="cross")  # one row
 
 
 @query("""
@@ -487,8 +621,8 @@ select date_trunc('hour', ts) batch, event_type source, count(distinct user_id)
 """)
 def coalesce_jobs(spark, sf_dir):
     """Change events to one job for each batch and source, paths counted once."""
-    e = t(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("batch"), F.col("event_type").alias("source"), F.col("user_id").alias("path"))
-    return e.distinct().groupBy("batch", "source").agg(F.count(F.lit(1)).alias("paths"))
+    e = t(spark, sf_dir, "events").select(F.struct(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("batch"), F.col("event_type").alias("source")).alias("source"), F.col("user_id").alias("path"))
+    return watch.coalesce(e).groupBy("source.batch", "source.source").agg(F.count(F.lit(1)).alias("paths"))
 
 
 @query("""

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text
+from loomgraph.operators.store import Store
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """edges(relation, src, dst) -> node, other, relation, direction: two equi-joinable halves instead of an OR."""
@@ -13,11 +16,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.union(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "relation", F.lit("in").alias("direction")))
 
 
-def neighbors(edges: DataFrame, roots: DataFrame, limit: int = 25) -> DataFrame:
-    """For each root at most limit edges of each relation: node, other, relation, direction, nth."""
+def neighbors(edges: DataFrame, roots: DataFrame, limit: int = 25, total: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """For each root at most limit edges of each relation: node, other, relation, direction, nth.
+
+    With total also at, the edge's place among all of the root's by relation, and at most total of them; relations
+    go by `order`, those not in it after the others by name.
+    """
     w = W.partitionBy("node", "relation").orderBy("direction", "other")
     near = both_ways(edges).join(roots.select("node").distinct(), "node", "left_semi")
-    return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
+    near = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
+    if total is None:
+        return near
+    known = F.array_position(F.array(*map(F.lit, order)), F.col("relation")) if order else F.lit(0)
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.when(known > 0, known).otherwise(len(order) + 1), "relation", "nth"))
+    return near.withColumn("at", place).where(F.col("at") <= total)
 
 
 def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 40) -> DataFrame:
@@ -25,13 +37,18 @@ def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int
 
     A level is one join of the frontier, of which limit + 1 nodes by node order are kept: as levels come
     before node order, no further one can be among the first limit. A root with more of them is done.
+    Of a node's own neighbours the first by node order do, limit + 1 more than can have been seen: a hub is cut
+    to them before it is joined, for however many roots it is near.
     """
     steps = both_ways(edges).select(F.col("node").alias("at"), "other").distinct()
     seen = roots.select(F.col("node").alias("root"), F.col("node").alias("node"), F.lit(0).alias("level")).distinct()
     frontier = seen
     by_node = W.partitionBy("root").orderBy("node")
     for level in range(1, depth + 1):
-        found = frontier.select("root", F.col("node").alias("at")).join(steps, "at").select("root", F.col("other").alias("node")).distinct()
+        ends = frontier.select("root", F.col("node").alias("at"))
+        near = steps.join(ends.select("at").distinct(), "at", "left_semi")
+        near = near.withColumn("_n", F.row_number().over(W.partitionBy("at").orderBy("other"))).where(F.col("_n") <= (level + 1) * limit + 2)
+        found = ends.join(near, "at").select("root", F.col("other").alias("node")).distinct()
         fresh = found.join(seen, ["root", "node"], "left_anti").withColumn("nth", F.row_number().over(by_node)).where(F.col("nth") <= limit + 1)
         frontier = fresh.select("root", "node", F.lit(level).alias("level"))
         seen = seen.unionByName(frontier)
@@ -58,3 +75,16 @@ def cascade_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple
     ids = gone.select("id").distinct()
     left = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return nodes.join(ids, "id", "left_anti"), left
+
+
+def stored_nodes(store: Store) -> DataFrame:
+    """All nodes of a store: id (token), kind, source, title, name, key."""
+    blank = F.lit(None).cast("string")
+    node = lambda kind, table, key, title=blank, name=blank: store.read(table).select(text.token(kind, F.col("source"), F.col(key)).alias("id"), F.lit(kind).alias("kind"), "source", title.alias("title"), name.alias("name"), F.col(key).alias("key"))
+    files = store.read("file").where("kind = 'code'").select(text.token("file", F.col("source"), F.col("path")).alias("id"), F.lit("file").alias("kind"), "source", blank.alias("title"), blank.alias("name"), F.col("path").alias("key"))
+    out = files.unionByName(node("symbol", "symbol", "fqn", name=F.col("name"))).unionByName(node("document", "document", "path", F.col("title"))).unionByName(node("decision", "decision", "path", F.col("title")))
+    return out.groupBy("id").agg(*(F.max(c).alias(c) for c in ("kind", "source", "title", "name", "key")))
+
+
+def node_ids(store: Store) -> DataFrame:
+    return stored_nodes(store).select("id")

@@ -1,73 +1,135 @@
-"""Versioned Parquet tables: copy-on-write snapshots, keyed upserts and deletes, a pointer that is swapped last.
+"""Tables in folders by source and bucket of the path: a write replaces the partitions it touches and no other.
 
-A commit writes a whole new snapshot folder through Spark and then the pointer, a small table of its own
-version folder; readers take the highest pointer, so a lost executor or a failed commit leaves the last
-snapshot readable. Everything goes through Spark's own file systems.
+Every row belongs to a source and a path. A write reads the touched partitions, leaves out the rows of the
+paths that go, adds the new ones and lets Spark's writer overwrite those partitions dynamically. Each touched
+partition holds one row without a path, so that one which has lost all its rows is overwritten as well.
+Writes of one table are one commit of Spark; a run writes the table of files last, so a run that breaks off
+is done again by the next one.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-VERSION = "1"
+from pyspark.sql.types import StructType
+
+VERSION = "2"
+KEYS = ["source", "path"]
+#: Columns of each table behind source and path.
+TABLES = {
+    "meta": "value string, updated_at timestamp",
+    "source": "kind string, root_path string, remote_url string, last_indexed timestamp",
+    "file": "kind string, language string, hash string, updated timestamp",
+    "symbol": "kind string, name string, fqn string, signature string, start_line int, end_line int, hash string",
+    "candidate": "what string, fqn string, target string, confidence double, evidence string",
+    "document": "title string, aliases array<string>, tags array<string>, body string, hash string, updated timestamp",
+    "chunk": "parent string, ordinal int, text string, embedding array<float>",
+    "edge": "relation string, src string, dst string, confidence double, evidence string, promoted_from string",
+    "decision": "title string, body string, created_at timestamp, created_by string, about array<string>",
+}
+META = "meta"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-
-    def version(self, table: str) -> int:
-        """Latest committed snapshot; 0 for none."""
-        at = self._path(f"{self.root}/{table}")
-        if not self._fs.exists(at):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def schema(self, table: str) -> StructType:
+        return StructType.fromDDL(f"path string, {TABLES[table]}, source string, bucket int")
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def _all(self, table: str) -> DataFrame:
+        if self._exists(f"{self.root}/{table}"):
+            return self.spark.read.schema(self.schema(table)).parquet(f"{self.root}/{table}")
+        return self.spark.createDataFrame([], self.schema(table))
+
+    def read(self, table: str) -> DataFrame:
+        """All rows of a table, none if nothing was written yet."""
+        return self._all(table).where("path is not null").drop("bucket")
+
+    def of(self, table: str, paths: DataFrame, parts: list[tuple[str, int]] | None = None) -> DataFrame:
+        """Rows of the given (source, path), from their partitions alone."""
+        return self._touched(table, self.parts(paths) if parts is None else parts).join(paths.select(KEYS).distinct(), KEYS, "left_semi").drop("bucket")
+
+    def _bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def parts(self, paths: DataFrame) -> list[tuple[str, int]]:
+        """Partitions of the paths; at most sources times buckets."""
+        return [tuple(r) for r in paths.select("source", self._bucket()).distinct().collect()]
+
+    def _touched(self, table: str, parts: list[tuple[str, int]]) -> DataFrame:
+        by_source: dict[str, list[int]] = {}
+        for source, bucket in parts:
+            by_source.setdefault(source, []).append(bucket)
+        wanted = reduce(lambda a, b: a | b, ((F.col("source") == s) & F.col("bucket").isin(b) for s, b in by_source.items()), F.lit(False))
+        return self._all(table).where(wanted & F.col("path").isNotNull())
+
+    def put(self, table: str, rows: DataFrame | None, gone: DataFrame | None = None) -> int:
+        """Takes away all rows of the paths in gone (source, path), then adds rows, which must be of those paths; without gone it only adds.
+
+        Returns how many partitions were written.
+        """
+        parts = self.parts(rows if gone is None else gone)
+        if not parts:
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        done = [int(n.removeprefix("commit=")) for n in names if n.startswith("commit=")]
-        return max(done, default=0)
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self.version(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/snapshot={v}") if v else None
-
-    def commit(self, table: str, df: DataFrame) -> int:
-        v = self.version(table) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot={v}")
-        self._fs.mkdirs(self._path(f"{self.root}/{table}/commit={v}"))  # one atomic call makes it visible
-        return v
-
-    def upsert(self, table: str, rows: DataFrame, keys: list[str]) -> int:
-        """Replaces rows by key and adds new ones; the last of equal keys doesn't matter, one stays."""
-        rows, old = rows.dropDuplicates(keys), self.read(table)
-        return self.commit(table, rows if old is None else old.join(rows.select(keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True))
-
-    def delete(self, table: str, gone: DataFrame, keys: list[str]) -> int:
-        old = self.read(table)
-        return 0 if old is None else self.commit(table, old.join(gone.select(keys).distinct(), keys, "left_anti"))
+        schema = self.schema(table)
+        left = self._touched(table, parts)
+        if gone is not None:
+            left = left.join(gone.select(KEYS).distinct(), KEYS, "left_anti")
+        marks = self.spark.createDataFrame(parts, "source string, bucket int")
+        out = left.unionByName(marks, allowMissingColumns=True)
+        if rows is not None:
+            out = out.unionByName(rows.withColumn("bucket", self._bucket()), allowMissingColumns=True)
+        out = out.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+        out.repartition("source", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "bucket").parquet(f"{self.root}/{table}")
+        return len(parts)
+
+    def upsert(self, table: str, rows: DataFrame) -> int:
+        """Replaces the rows of the same source and path; of equal new ones the one with the largest values stays."""
+        return self.put(table, self.one_each(rows), rows)
+
+    @staticmethod
+    def one_each(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else rows.distinct()
 
     def insert_missing(self, table: str, rows: DataFrame, keys: list[str]) -> int:
-        """Adds rows whose key isn't there; returns how many were new."""
-        old = self.read(table)
-        new = rows.dropDuplicates(keys) if old is None else rows.dropDuplicates(keys).join(old.select(keys), keys, "left_anti")
+        """Adds rows whose keys (source and path among them) aren't there; returns how many were new."""
+        new = self.staged(rows.dropDuplicates(keys).join(self.of(table, rows).select(keys), keys, "left_anti"))
         n = new.count()
         if n:
-            self.commit(table, new if old is None else old.unionByName(new, allowMissingColumns=True))
+            self.put(table, new)
         return n
 
-    def write_meta(self, key: str, value: str) -> int:
-        row = self.spark.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), F.current_timestamp().alias("updated_at"))
-        return self.upsert("meta", row, ["key"])
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df written below the store's folder and read back: later writes don't change it, lost executors don't compute it again."""
+        path = f"{self.root}/_stage/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear_stage(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_stage")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    # --- meta ------------------------------------------------------------------------------------
+
+    def write_meta(self, **values: str | None) -> None:
+        """Sets keys; None takes a key away."""
+        rows = self.spark.createDataFrame([(META, k, v) for k, v in values.items()], "source string, path string, value string")
+        self.put("meta", rows.where("value is not null").withColumn("updated_at", F.current_timestamp()), rows)
 
     def meta(self, key: str) -> str | None:
-        old = self.read("meta")
-        row = old.where(F.col("key") == key).first() if old is not None else None
+        row = self.of("meta", self.spark.createDataFrame([(META, key)], "source string, path string")).select("value").first()
         return row["value"] if row else None
 
     def migrate(self) -> None:
-        """Notes the schema version once; running it again changes nothing."""
+        """Notes the version of the tables once; running it again changes nothing."""
         if self.meta("schema_version") != VERSION:
-            self.write_meta("schema_version", VERSION)
+            self.write_meta(schema_version=VERSION)

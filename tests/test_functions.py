@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import code, markup, text
-from loomgraph.sources import tickets
+from loomgraph.sources import services
 
 
 def one(spark, expr, **values):
@@ -26,15 +24,15 @@ def test_identifiers(spark):
     assert one(spark, text.identifiers(F.col("b")), b="Foo: a::b x _y1, é") == ["Foo:", "a::b", "_y1"]
 
 
-NOTE = "---\r\ntitle: 'Note A'\naliases: [Alpha, \"Beta\"]\ntags:\n  - arch\n  - 'x y'\n---\n# Heading\nSee [[Note B|b]] and ![[pic.png]] [[dir\\Other#part]] [[ ]] [[Note B]] #inline-tag, #2\n"
+NOTE = "---\r\ntitle: 'Loading plan'\naliases: [Stowage, \"Cargo list\"]\ntags:\n  - hold\n  - 'x y'\n---\n# Heading\nSee [[Ballast|b]] and ![[chart.png]] [[dir\\Ropes#part]] [[ ]] [[Ballast]] #inline-tag, #2\n"
 
 
 def test_notes(spark):
     d = spark.createDataFrame([(NOTE,), ("plain\n## Top\ntext",), (None,)], "raw string").select(text.front_matter(F.col("raw")).alias("n")).select("n.*")
     head, body = F.col("head"), F.col("body")
     rows = d.select(text.head_value(head, "title").alias("title"), text.head_list(head, "aliases").alias("aliases"), text.head_list(head, "tags").alias("tags"), text.first_heading(body).alias("h"), text.wikilinks(body).alias("links"), text.inline_tags(body).alias("inline")).collect()
-    assert rows[0].title == "Note A" and rows[0].aliases == ["Alpha", "Beta"] and rows[0].tags == ["arch", "x y"] and rows[0].h == "Heading"
-    assert rows[0].links == ["Note B", "dir/Other", "Note B"] and rows[0].inline == ["inline-tag", "2"]
+    assert rows[0].title == "Loading plan" and rows[0].aliases == ["Stowage", "Cargo list"] and rows[0].tags == ["hold", "x y"] and rows[0].h == "Heading"
+    assert rows[0].links == ["Ballast", "dir/Ropes", "Ballast"] and rows[0].inline == ["inline-tag", "2"]
     assert rows[1].title is None and rows[1].h == "Top" and rows[1].aliases == []
 
 
@@ -76,24 +74,11 @@ def test_tokens(spark):
     assert len(one(spark, text.record_id(F.col("t")), t="x")) == 32
 
 
-def test_html():
-    page = "<html><style>p{}</style><h1>A &amp; B</h1><p>caf&eacute; <b>b</b>&nbsp;x</p><script>var t='</p>'</script><!-- no --><p>ñ</p>"
-    assert markup.html_text(page) == "A & B\ncafé b x\nñ"
-    assert markup.html_text(None) == "" and markup.html_text("<p") == "<p"
-
-
 def test_adf():
     doc = {"type": "doc", "content": [{"type": "heading", "attrs": {"level": 2}, "content": [{"type": "text", "text": "T"}]}, {"type": "paragraph", "content": [{"type": "text", "text": "a"}, {"type": "hardBreak"}, {"type": "text", "text": "b"}]}, {"type": "bulletList", "content": [{"type": "listItem", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "i"}]}]}]}, {"type": "media"}, {"type": "rule"}]}
     assert markup.adf_text(doc).strip() == "## T\na\nb\n- i\n---"
 
 
-def test_blocks():
-    text_ = [{"plain_text": "x"}]
-    assert markup.block_text({"type": "heading_2", "heading_2": {"rich_text": text_}}) == "## x"
-    assert markup.block_text({"type": "to_do", "to_do": {"rich_text": text_, "checked": True}}) == "- [x] x"
-    assert markup.page_title({"N": {"type": "title", "title": text_}}) == "x" and markup.page_title({}) == "Untitled"
-
-
 SOURCES = {
     "python": ("import json\nfrom .shelf import weigh\n\nclass Depot:\n    def stock(self):\n        weigh('crate')\n        json.dumps([])\n", ["m::Depot", "m::Depot::stock"], ["json", ".shelf"], {("m::Depot::stock", "weigh"), ("m::Depot::stock", "dumps")}),
     "rust": ("mod shelf;\nuse crate::shelf::weigh;\n\npub fn load() -> u64 {\n    weigh(7)\n}\nstruct Crate { kg: u64 }\nimpl Crate {\n    fn lift(&self) -> u64 {\n        pulley()\n    }\n}\n", ["m::shelf", "m::load", "m::Crate", "m::lift"], ["crate::shelf::weigh"], {("m::load", "weigh"), ("m::lift", "pulley")}),
@@ -116,21 +101,6 @@ def test_code_batches(spark):
     assert {(r.id, r.what, r.fqn) for r in code.symbols(df).collect()} == {("src/m.py", "symbol", "src::m::f"), ("src/m.py", "call", "src::m::f")}
 
 
-def test_tickets(spark, tmp_path):
-    for i, items in enumerate(([{"key": "A-1", "fields": {"summary": "s", "updated": "2026-08-07T12:00:00.000+0000", "labels": ["l"], "status": {"name": "Done"}}}], [{"key": "A-2", "fields": {"updated": "bad"}}])):
-        (tmp_path / f"p{i}.json").write_text(json.dumps({"items": items}))
-    spark.dataSource.register(tickets.RecordedPages)
-    d = spark.read.format("recorded_pages").option("path", str(tmp_path)).load().select(*tickets.issue(F.col("item")))
-    rows = {r.key: r for r in d.collect()}
-    assert rows["A-1"].title == "A-1 — s" and rows["A-1"].tags == ["l", "Done"] and rows["A-2"].updated is None
-    assert str(tickets.high_water(d).first()[0]) == "2026-08-07 12:00:00"
-
-
-def test_paging():
-    served = {None: {"items": [1, 2], "next": "b"}, "b": {"items": [3]}}
-    assert list(tickets.pages(served.get, 10)) == [1, 2, 3] and list(tickets.pages(served.get, 2)) == [1, 2]
-
-
 def test_incremental_query():
-    assert tickets.incremental_query("project = A ORDER BY created", "2026/01/01 00:00") == '(project = A) AND updated >= "2026/01/01 00:00" ORDER BY updated ASC'
-    assert tickets.incremental_query("", None) == "updated >= -3650d ORDER BY updated ASC"
+    assert services.incremental_query("project = A ORDER BY created", "2026/01/01 00:00") == '(project = A) AND updated >= "2026/01/01 00:00" ORDER BY updated ASC'
+    assert services.incremental_query("", None) == "updated >= -3650d ORDER BY updated ASC"

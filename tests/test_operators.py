@@ -6,9 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, link, search
-from loomgraph.operators.store import Store
-from loomgraph.sources import files
-from loomgraph.streaming import watch
 
 
 def rows(df, *columns):
@@ -29,9 +26,9 @@ def test_imports(spark):
 
 
 def test_calls(spark):
-    calls = spark.createDataFrame([(1, "s", "greet", "a.py"), (2, "s", "greet", "z.py"), (3, "s", "gone", "a.py")], "call_id int, source string, name string, file string")
-    symbols = spark.createDataFrame([("s", "greet", "b.py", "b::greet"), ("s", "greet", "a.py", "z::greet")], "source string, name string, file string, fqn string")
-    assert rows(link.resolve_calls(calls, symbols), "call_id", "fqn") == {(1, "z::greet"), (2, "b::greet")}
+    calls = spark.createDataFrame([(1, "s", "weigh", "a.py"), (2, "s", "weigh", "z.py"), (3, "s", "gone", "a.py")], "call_id int, source string, name string, file string")
+    symbols = spark.createDataFrame([("s", "weigh", "b.py", "b::weigh"), ("s", "weigh", "a.py", "z::weigh")], "source string, name string, file string, fqn string")
+    assert rows(link.resolve_calls(calls, symbols), "call_id", "fqn") == {(1, "z::weigh"), (2, "b::weigh")}
 
 
 def brute_wikilink(target, docs):
@@ -94,14 +91,6 @@ def test_graph(spark, edges):
     assert left.count() == 6 and rows(rest, "src") == {("c",), ("e",), ("g",)}
 
 
-def test_nearest(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, None)], "vec_id long, embedding array<double>")
-    got = {r.id: r.nth for r in search.nearest(v, v.where("vec_id = 3"), 2).collect()}
-    assert got == {3: 1, 1: 2}
-    two = search.nearest(v, v.where("vec_id in (1, 3)"), 1, block=1)
-    assert rows(two, "query_id", "id") == {(1, 1), (3, 3)}
-
-
 def test_search_predicates(spark):
     d = spark.createDataFrame([("Foo", "s1"), ("bar", "s1"), ("FOOD", "s2")], "name string, source string")
     assert d.where(search.has(" foo ", "name")).count() == 2 and d.where(search.has("  ", "name")).count() == 0
@@ -110,50 +99,6 @@ def test_search_predicates(spark):
     assert search.allowed(s, None) is None and rows(search.allowed(s, ["GIT"]), "source") == {("code",)} and search.allowed(s, ["none"]).count() == 0
 
 
-def test_store(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/store")
-    s.migrate()
-    v = s.version("meta")
-    s.migrate()
-    assert s.version("meta") == v and s.meta("schema_version") == "1"
-    a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
-    s.commit("t", a)
-    s.upsert("t", spark.createDataFrame([(2, "z"), (3, "w")], "id int, v string"), ["id"])
-    assert rows(s.read("t"), "id", "v") == {(1, "x"), (2, "z"), (3, "w")}
-    assert s.insert_missing("t", spark.createDataFrame([(3, "q"), (4, "r")], "id int, v string"), ["id"]) == 1
-    s.delete("t", spark.createDataFrame([(1,)], "id int"), ["id"])
-    assert rows(s.read("t"), "id", "v") == {(2, "z"), (3, "w"), (4, "r")} and s.read("none") is None
-
-
-def test_files(spark, tmp_path):
-    for name, body in {"src/a.py": "x = 1", "node_modules/b.py": "", "n/Note.MD": "hi", "c.txt": "y"}.items():
-        p = tmp_path / name
-        p.parent.mkdir(exist_ok=True)
-        p.write_text(body)
-    assert rows(files.code_files(spark, str(tmp_path), ["py"]), "id", "language") == {("src/a.py", "python")}
-    assert rows(files.notes(spark, str(tmp_path)), "id", "raw") == {("n/Note.MD", "hi")}
-    assert files.only(files.scan(spark, str(tmp_path)), spark.createDataFrame([("c.txt",)], "id string")).count() == 1
-
-
-def test_watch(spark, tmp_path):
-    e = spark.createDataFrame([("s", "a.md", "write"), ("s", "a.md", "write"), ("s", "b.md", "access"), ("t", "../x", "write"), ("t", "c.md", "remove")], "source string, path string, kind string")
-    e.write.parquet(f"{tmp_path}/in")
-    seen = []
-    q = watch.watch(watch.stream(spark, f"{tmp_path}/in", "source string, path string, kind string"), lambda df, n: seen.extend(map(tuple, df.collect())), f"{tmp_path}/ck", once=True)
-    q.awaitTermination(60)
-    assert sorted(seen) == [("s", "a.md"), ("t", "c.md")]
-
-
-def test_hourly_stream(spark, tmp_path):
-    sf = "/root/testdata/sf0.001/events.parquet"
-    batch = spark.read.parquet(sf)
-    batch.repartition(2).write.parquet(f"{tmp_path}/in")
-    q = watch.hourly(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("complete").format("memory").queryName("hourly").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    want = {(r.h, r.event_type, r.n) for r in batch.groupBy(F.date_trunc("hour", "ts").cast("timestamp").alias("h"), "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert rows(spark.table("hourly"), "hour", "event_type", "n") == want
-
-
 def test_ranked_keeps_hits_of_one_channel(spark):
     v = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.4)], "query_id long, id long, score double")
     t = spark.createDataFrame([(1, 11, 2), (1, 12, 3)], "query_id long, id long, n long")
