@@ -158,7 +158,7 @@ def _apply(store: Store, report: Report, status: DataFrame, found: DataFrame, se
     again = store.staged(touched(store, done, names, ends, paths, kinds))
     present = store.read("file").join(done, KEYS, "left_anti").select(KEYS).unionByName(status.where("status in ('added', 'changed')").select(KEYS))
     relations = {"imports": ["imports"], "calls": ["calls"], "references": ["references"], "mentions": ["mentions"], "explains": ["explains"], "resolves": ["resolves"], "broken_links": ["broken"]}
-    made = report.watch(edges(store, again, present, settings, kinds), {c: F.col("relation").isin(r) for c, r in relations.items()})
+    made = report.watch(edges(store, again, done, present, settings, kinds), {c: F.col("relation").isin(r) for c, r in relations.items()})
     report.close(store.put("edge", made.where("relation <> 'broken'"), again))
     store.put("file", todo.select(*KEYS, "kind", "language", "hash", "updated"), done)
 
@@ -207,10 +207,11 @@ def touched(store: Store, done: DataFrame, names: DataFrame, ends: DataFrame, pa
     return out.distinct()
 
 
-def edges(store: Store, of: DataFrame, present: DataFrame, settings: Settings, kinds: dict[str, str]) -> DataFrame:
+def edges(store: Store, of: DataFrame, done: DataFrame, present: DataFrame, settings: Settings, kinds: dict[str, str]) -> DataFrame:
     """All edges that come from the files in of (source, path), all files being present.
 
-    source, path, relation, src, dst and what is known of each; links to nothing have the relation `broken`.
+    source, path, relation, src, dst and what is known of each; links to nothing have the relation `broken`. What was
+    promoted by hand stays as long as the document is the same and still mentions the symbol.
     """
     parts = store.parts(of)
     s, d, c = (store.of(table, of, parts) for table in ("symbol", "document", "candidate"))
@@ -251,6 +252,10 @@ def edges(store: Store, of: DataFrame, present: DataFrame, settings: Settings, k
         from_ = F.concat_ws(":", F.lit("mentions"), node("document", "source", "path"), "to")
         out = out.unionByName(made(sure, "explains", node("document", "source", "path"), F.col("to"), confidence=F.col("confidence"), evidence=F.col("evidence"), promoted_from=from_))
 
+    held = store.of("edge", of, parts).where("relation = 'explains'").join(done, KEYS, "left_anti")
+    still = by.select("source", "path", F.col("to").alias("dst")).distinct()
+    out = out.unionByName(held.join(still, [*KEYS, "dst"], "left_semi").select(out.columns))
+
     issues = store.read("document").where(F.col("source").isin([n for n, k in kinds.items() if k == "issues"])).groupBy(F.col("path").alias("target")).agg(F.min(node("document", "source", "path")).alias("to"))
     cited = c.where("what = 'key'").join(issues, "target")
     out = out.unionByName(made(cited.join(s.select(*KEYS, F.col("fqn").alias("own")), KEYS), "resolves", node("symbol", "source", "own"), F.col("to"), evidence=F.col("target")))
