@@ -127,6 +127,9 @@ def _move_cursor(store: Store, name: str, found: DataFrame, force: bool) -> None
 def _apply(store: Store, report: Report, status: DataFrame, found: DataFrame, settings: Settings, kinds: dict[str, str]) -> None:
     """Extracts the changed items, writes them, and links what they can change."""
     done = status.where("status <> 'skipped'").select(KEYS)
+    parts, broken = store.parts(done), store.meta("linking") == "open"  # after a run that broke off, what it changed isn't known
+    store.write_meta(linking="open")
+    of_code, of_docs = ([p for p in parts if (kinds[p[0]] == "code") == is_code] for is_code in (True, False))
     todo = store.staged(found.join(status.where("status in ('added', 'changed')").select(KEYS), KEYS, "left_semi"))
     of_kind = lambda *k: F.col("source").isin([n for n, kind in kinds.items() if kind in k])
     parsed = code.symbols(todo.where(of_kind("code")).select(F.concat_ws("\t", "source", "path").alias("id"), "path", "language", "content"))
@@ -142,25 +145,26 @@ def _apply(store: Store, report: Report, status: DataFrame, found: DataFrame, se
     linked = docs.select(*KEYS, F.explode("links").alias("target")).withColumn("what", F.lit("link"))
     candidates = candidates.unionByName(linked.unionByName(keyed), allowMissingColumns=True).dropDuplicates([*KEYS, "what", "fqn", "target"])
 
-    old_symbols, old_docs = store.of("symbol", done).select("source", "name", "fqn"), store.of("document", done).select(*KEYS, "title", "aliases")
+    old_symbols, old_docs = store.of("symbol", done, of_code).select("source", "name", "fqn"), store.of("document", done, of_docs).select(*KEYS, "title", "aliases")
     names = store.staged(old_symbols.unionByName(symbols.select("source", "name", "fqn")).distinct())
     ends = store.staged(old_docs.unionByName(docs.select(*KEYS, "title", "aliases")).distinct())
     paths = status.where("status in ('added', 'removed')").select(KEYS)
 
     always = F.lit(True)
-    report.close(store.put("symbol", report.watch(symbols, {"symbols": always}), done.where(of_kind("code"))))
-    store.put("candidate", candidates, done)
-    report.close(store.put("document", report.watch(docs.drop("links"), {"documents": always}), done.where(~of_kind("code"))))
+    report.close(store.put("symbol", report.watch(symbols, {"symbols": always}), done, of_code))
+    store.put("candidate", candidates, done, parts)
+    report.close(store.put("document", report.watch(docs.drop("links"), {"documents": always}), done, of_docs))
     if settings.embedder.enabled:
-        report.close(store.put("chunk", report.watch(embed_chunks(chunks(symbols, docs), settings.embedder), {"chunks": always}), done))
+        report.close(store.put("chunk", report.watch(embed_chunks(chunks(symbols, docs), settings.embedder), {"chunks": always}), done, parts))
     else:
-        store.put("chunk", None, done)
-    again = store.staged(touched(store, done, names, ends, paths, kinds))
+        store.put("chunk", None, done, parts)
     present = store.read("file").join(done, KEYS, "left_anti").select(KEYS).unionByName(status.where("status in ('added', 'changed')").select(KEYS))
+    again = store.staged(done.unionByName(present).distinct() if broken else touched(store, done, names, ends, paths, kinds))
     relations = {"imports": ["imports"], "calls": ["calls"], "references": ["references"], "mentions": ["mentions"], "explains": ["explains"], "resolves": ["resolves"], "broken_links": ["broken"]}
     made = report.watch(edges(store, again, done, present, settings, kinds), {c: F.col("relation").isin(r) for c, r in relations.items()})
     report.close(store.put("edge", made.where("relation <> 'broken'"), again))
-    store.put("file", todo.select(*KEYS, "kind", "language", "hash", "updated"), done)
+    store.put("file", todo.select(*KEYS, "kind", "language", "hash", "updated"), done, parts)
+    store.write_meta(linking="done")
 
 
 def chunks(symbols: DataFrame, docs: DataFrame) -> DataFrame:

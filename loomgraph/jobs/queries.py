@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions import markup, text
-from loomgraph.jobs.index import import_bases
+from loomgraph.functions import code, markup, text
+from loomgraph.functions.embed import HashEmbedder, embed_chunks
+from loomgraph.jobs.index import import_bases, index
 from loomgraph.operators import graph, link, search
+from loomgraph.operators.store import Store, shared_folder
 from loomgraph.sources import services
-from loomgraph.sources.connectors import note_fields
+from loomgraph.sources.connectors import Source, note_fields
 from loomgraph.streaming import watch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -226,6 +230,62 @@ def issue_keys(spark, sf_dir):
     return _issues(spark, sf_dir).select("event_id", F.array_join(text.issue_keys(F.col("body")), ",").alias("keys"))
 
 
+_CLEAN = "regexp_replace(coalesce(\"text\", ''), '[^A-Za-z0-9 (){}\"\\n]', '', 'g')"
+_CODE = rf"""
+with d as (select doc_id, {_CLEAN} body, doc_id % 4 lang, doc_id % 7 other from documents),
+f as (select *, length(body) - length(replace(body, chr(10), '')) n from d),
+r as (
+  select doc_id, 'symbol' what, 'function' kind, 'load_' || doc_id name, 'src::f' || doc_id || '::load_' || doc_id fqn, n + 2 start_line, n + 4 end_line, null target, 'pub fn load_' || doc_id || '(kg: u64) -> u64' signature, null confidence from f where lang = 0
+  union all select doc_id, 'call', null, null, 'src::f' || doc_id || '::load_' || doc_id, n + 3, n + 3, 'weigh_' || other, null, 0.8 from f where lang = 0
+  union all select doc_id, 'import', null, null, null, n + 5, n + 5, 'crate::f' || other, null, 1.0 from f where lang = 0
+  union all select doc_id, 'symbol', 'class', 'Box' || doc_id, 'src::f' || doc_id || '::Box' || doc_id, n + 2, n + 6, null, 'class Box' || doc_id, null from f where lang = 1
+  union all select doc_id, 'symbol', 'function', 'lift', 'src::f' || doc_id || '::Box' || doc_id || '::lift', n + 3, n + 5, null, 'lift(kg: number): number', null from f where lang = 1
+  union all select doc_id, 'call', null, null, 'src::f' || doc_id || '::Box' || doc_id || '::lift', n + 4, n + 4, 'weigh_' || other, null, 0.8 from f where lang = 1
+  union all select doc_id, 'import', null, null, null, n + 7, n + 7, './f' || other, null, 1.0 from f where lang = 1
+  union all select doc_id, 'symbol', 'module', 'M' || doc_id, 'src::f' || doc_id || '::M' || doc_id, n + 4, n + 8, null, 'module M' || doc_id, null from f where lang = 2
+  union all select doc_id, 'symbol', 'function', 'haul', 'src::f' || doc_id || '::M' || doc_id || '::haul', n + 5, n + 7, null, 'def haul(kg)', null from f where lang = 2
+  union all select doc_id, 'call', null, null, 'src::f' || doc_id || '::M' || doc_id || '::haul', n + 6, n + 6, 'weigh_' || other, null, 0.8 from f where lang = 2
+  union all select doc_id, 'import', null, null, null, n + 9, n + 9, 'f' || other, null, 1.0 from f where lang = 2
+  union all select doc_id, 'symbol', 'class', 'Crate', 'src::f' || doc_id || '::Crate', n + 2, n + 4, null, 'class Crate:', null from f where lang = 3
+  union all select doc_id, 'symbol', 'function', 'stow', 'src::f' || doc_id || '::Crate::stow', n + 3, n + 4, null, 'def stow(self):', null from f where lang = 3
+  union all select doc_id, 'call', null, null, 'src::f' || doc_id || '::Crate::stow', n + 4, n + 4, 'weigh_' || other, null, 0.8 from f where lang = 3
+  union all select doc_id, 'import', null, null, null, n + 5, n + 5, 'f' || other, null, 1.0 from f where lang = 3)
+select doc_id, what, kind, name, fqn, cast(start_line as int) start_line, cast(end_line as int) end_line, target, signature, cast(confidence as double) confidence from r
+"""
+
+
+@query(_CODE)
+def code_symbols(spark, sf_dir):
+    """Documents as source files of four languages: the text in a comment or a literal, then declarations, a call and an import."""
+    d = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r'[^A-Za-z0-9 (){}"\n]', "").alias("body"))
+    id_, other = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    rust = F.concat(F.lit("/*"), "body", F.lit("*/\npub fn load_"), id_, F.lit("(kg: u64) -> u64 {\n    weigh_"), other, F.lit('("} fn no() {", kg)\n}\nuse crate::f'), other, F.lit(";\n"))
+    script = F.concat(F.lit("/*"), "body", F.lit("*/\nexport class Box"), id_, F.lit(" {\n  lift(kg: number): number {\n    return weigh_"), other, F.lit("(`}`);\n  }\n}\nimport { x } from './f"), other, F.lit("';\n"))
+    ruby = F.concat(F.lit("=begin\n"), "body", F.lit("\n=end\nmodule M"), id_, F.lit("\n  def haul(kg)\n    weigh_"), other, F.lit("('end')\n  end\nend\nrequire 'f"), other, F.lit("'\n"))
+    python = F.concat(F.lit("r'''"), "body", F.lit("'''\nclass Crate:\n    def stow(self):\n        return weigh_"), other, F.lit("('def')\nimport f"), other, F.lit("\n"))
+    kind = F.col("doc_id") % 4
+    content = F.when(kind == 0, rust).when(kind == 1, script).when(kind == 2, ruby).otherwise(python)
+    ending = F.element_at(F.array(*map(F.lit, (".rs", ".ts", ".rb", ".py"))), (kind + 1).cast("int"))
+    path = F.concat(F.lit("src/f"), id_, ending)
+    files = d.select(id_.alias("id"), path.alias("path"), text.language(path).alias("language"), content.cast("binary").alias("content"))
+    return code.symbols(files).select(F.col("id").cast("long").alias("doc_id"), "what", "kind", "name", "fqn", "start_line", "end_line", "target", "signature", "confidence")
+
+
+@query(r"""
+with recursive c as (select doc_id, "text" body, 0 k from documents union all select doc_id, body, k + 1 from c where k < 1),
+h as (select doc_id, k, sha256(k || ':' || coalesce(body, '')) h from c),
+u as (select doc_id, k * 8 + i nth, ('0x' || h[8 * i + 7:8 * i + 8] || h[8 * i + 5:8 * i + 6] || h[8 * i + 3:8 * i + 4] || h[8 * i + 1:8 * i + 2])::bigint / 2147483647.5 - 1 x from h, (select unnest(range(8)) i)),
+n as (select doc_id, nth, x / sqrt(sum(x * x) over (partition by doc_id)) x from u)
+select doc_id, cast(16 as bigint) dimension, round(sum(x * (nth + 1)), 4) weighted, round(max(x), 4) largest from n group by doc_id
+""")
+def hash_embeddings(spark, sf_dir):
+    """Vectors of whole texts by the hashing embedder: a weighted sum and the largest of their components."""
+    d = t(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.col("doc_id").alias("parent"), "text")
+    v = embed_chunks(d, HashEmbedder(16)).select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    weighted = F.aggregate(F.zip_with("v", F.sequence(F.lit(1), F.lit(16)), lambda x, n: x * n), F.lit(0.0), lambda a, x: a + x)
+    return v.select("doc_id", F.size("v").cast("long").alias("dimension"), F.round(weighted, 4).alias("weighted"), F.round(F.array_max("v"), 4).alias("largest"))
+
+
 # --- links -------------------------------------------------------------------------------------------
 
 _LONG = "with s as (select distinct unnest(regexp_extract_all(text, '[A-Za-z0-9_:]{2,}')) name, item_id from benchmark), c as (select name, 'benchmark::i' || lpad(cast(item_id as varchar), 6, '0') fqn from s where length(name) >= 7)"
@@ -600,6 +660,38 @@ def explore_context(spark, sf_dir):
     return search.explored(symbols, documents, edges(spark, sf_dir), nodes(spark, sf_dir), 20)
 
 
+# --- the index job ------------------------------------------------------------------------------------
+
+_PAGES = r"""
+with i as (select distinct upper(event_type) || '-' || json_extract_string(props, '$.k') key from events),
+p as (select distinct doc_id, "text" || chr(10) || 'see ' || upper(e.event_type) || '-' || (doc_id % 120) body from documents, (select min(event_type) event_type from events) e),
+k as (select doc_id, unnest(list_distinct(regexp_extract_all(body, '\b[A-Z][A-Za-z0-9]{1,9}-[0-9]{1,6}\b'))) key from p)
+select 'contains' relation, 'source:pages' src, 'document:pages:' || doc_id dst from p union all select 'contains', 'source:board', 'document:board:' || key from i
+union all select distinct 'references', 'document:pages:' || doc_id, 'document:board:' || key from k join i using (key)
+"""
+
+
+@query(_PAGES)
+def index_pages(spark, sf_dir):
+    """Edges after three runs of the index job: every second document as a wiki page, then the issues of the events, then all documents.
+
+    The second run links pages of the first, the third writes the partitions of what is new.
+    """
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text")
+    e = t(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").alias("k"))
+    kind = e.agg(F.upper(F.min("event_type")).alias("kind"))
+    body = F.concat("text", F.lit("\nsee "), "kind", F.lit("-"), (F.col("doc_id") % 120).cast("string"))
+    id_, none, now = F.col("doc_id").cast("string"), F.array().cast("array<string>"), F.lit("2026-01-01").cast("timestamp")
+    pages = d.join(F.broadcast(kind), how="cross").select(id_.alias("path"), F.concat(F.lit("Page "), id_).alias("title"), none.alias("aliases"), F.array("source").alias("tags"), body.alias("body"), F.sha2("text", 256).alias("hash"), now.alias("updated"))  # one row
+    key = F.concat_ws("-", F.upper("event_type"), "k")
+    issues = e.select(key.alias("path")).distinct().select("path", F.col("path").alias("title"), F.array("path").alias("aliases"), none.alias("tags"), F.lit("").alias("body"), F.sha2("path", 256).alias("hash"), now.alias("updated"))
+    store = Store(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}", 16)
+    runs = [(Source("pages", "wiki", ""), pages.where("cast(path as long) % 2 = 0")), (Source("board", "issues", ""), issues), (Source("pages", "wiki", ""), pages)]
+    for source, docs in runs:
+        index(spark, store, [source], given={source.name: docs})
+    return store.read("edge").select("relation", "src", "dst")
+
+
 # --- increments --------------------------------------------------------------------------------------
 
 @query("""

@@ -9,6 +9,7 @@ is done again by the next one.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
@@ -33,6 +34,17 @@ TABLES = {
 META = "meta"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a local one only where it is unset and one process does it all (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-store-')}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -71,12 +83,13 @@ class Store:
         wanted = reduce(lambda a, b: a | b, ((F.col("source") == s) & F.col("bucket").isin(b) for s, b in by_source.items()), F.lit(False))
         return self._all(table).where(wanted & F.col("path").isNotNull())
 
-    def put(self, table: str, rows: DataFrame | None, gone: DataFrame | None = None) -> int:
+    def put(self, table: str, rows: DataFrame | None, gone: DataFrame | None = None, parts: list[tuple[str, int]] | None = None) -> int:
         """Takes away all rows of the paths in gone (source, path), then adds rows, which must be of those paths; without gone it only adds.
 
-        Returns how many partitions were written.
+        parts: the partitions of gone, where they are known. Returns how many partitions were written.
         """
-        parts = self.parts(rows if gone is None else gone)
+        if parts is None:
+            parts = self.parts(rows if gone is None else gone)
         if not parts:
             return 0
         schema = self.schema(table)

@@ -111,6 +111,23 @@ def test_small_runs_equal_a_full_one(spark, tree):
     assert 0 < len(changed) <= 2
 
 
+def test_a_broken_run_is_done_again(spark, tree, monkeypatch):
+    """Even names that it took away from other files are linked anew by the next run."""
+    store, own = Store(spark, f"file://{tree}/store", 4), sources(tree, "yard")
+    index(spark, store, own)
+    (tree / "yard/src/crane.rs").write_text("pub fn winch() {}\n")
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr("loomgraph.jobs.index.edges", fails)
+        index(spark, store, own)
+    assert store.read("symbol").where("name = 'winch'").count() == 1
+    assert index(spark, store, own)["yard"]["indexed"] == 1
+    assert not any(x[2] == "symbol:yard:src::crane::hoist" for x in edges(store)) and store.meta("linking") == "done"
+
+
 def test_given_paths_alone(spark, tree):
     store = Store(spark, f"file://{tree}/store", 8)
     own = sources(tree, "yard", "log")
