@@ -30,8 +30,10 @@ from loomgraph.llm.common import shared_dir, table, written
 
 #: Payloads below this many bytes are always stored.
 LEAST_SHARED = 100
-#: Records of an archive at most; captures of a merged range and number of ranges, which bounds the sample of keys.
-RECORDS, RANGE, MOST_RANGES, KEYS_A_RANGE = 10_000, 100_000, 2_000, 20
+#: Records of an archive at most, as one is read whole (compressed) before it is streamed.
+RECORDS = 2_000
+#: Captures of a merged range and number of ranges, which bounds the sample of keys.
+RANGE, MOST_RANGES, KEYS_A_RANGE = 100_000, 2_000, 20
 CRLF = "\r\n"
 
 
