@@ -3,7 +3,8 @@
 Every row belongs to a source and a path. A write reads the touched partitions, leaves out the rows of the
 paths that go, adds the new ones and lets Spark's writer overwrite those partitions dynamically. Each touched
 partition holds one row without a path, so that one which has lost all its rows is overwritten as well.
-Writes of one table are one commit of Spark; a run writes the table of files last, so a run that breaks off
+The number of buckets is the store's for good: choose it so that a bucket of the largest source is some hundred
+megabytes. Writes of one table are one commit of Spark; a run writes the table of files last, so a run that breaks off
 is done again by the next one.
 """
 
@@ -101,7 +102,8 @@ class Store:
         if rows is not None:
             out = out.unionByName(rows.withColumn("bucket", self._bucket()), allowMissingColumns=True)
         out = out.select(*(F.col(f.name).cast(f.dataType) for f in schema))
-        out.repartition("source", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "bucket").parquet(f"{self.root}/{table}")
+        # partitions are gathered for the writer; Spark splits those that are large at run time
+        out.hint("rebalance", "source", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "bucket").parquet(f"{self.root}/{table}")
         return len(parts)
 
     def upsert(self, table: str, rows: DataFrame) -> int:
