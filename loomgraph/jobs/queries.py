@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import code, markup, text
 from loomgraph.functions.embed import HashEmbedder, embed_chunks
+from loomgraph.jobs.decisions import add_decisions
+from loomgraph.jobs.facade import Graph
 from loomgraph.jobs.index import import_bases, index
 from loomgraph.operators import graph, link, search
 from loomgraph.operators.store import Store, shared_folder
@@ -286,6 +288,48 @@ def hash_embeddings(spark, sf_dir):
     return v.select("doc_id", F.size("v").cast("long").alias("dimension"), F.round(weighted, 4).alias("weighted"), F.round(F.array_max("v"), 4).alias("largest"))
 
 
+_WIKI_PAGES = _HTML.rstrip().rsplit("select page_id, url,", 1)[0] + r"""
+, b as (select page_id, regexp_replace(regexp_replace(regexp_replace(x, '^\n+', ''), '\n{3,}', chr(10) || chr(10), 'g'), '\n+\z', '') body from w)
+select cast(page_id as varchar) path, 'Page ' || page_id title, page_id || ',Page ' || page_id || ',S' || (page_id % 3) || '/Page ' || page_id aliases, 'web,S' || (page_id % 3) tags,
+  md5('# Page ' || page_id || chr(10) || chr(10) || '- space: `S' || (page_id % 3) || '`' || chr(10) || '- page_id: `' || page_id || '`' || chr(10) || '- url: https://wiki.example/wiki/p/' || page_id || chr(10) || '- labels: web' || chr(10) || chr(10)
+    || case when body = '' then '' else body || chr(10) end) body_md5, cast(timestamp '2026-02-01 10:00:00' as timestamp) updated
+from b
+"""
+
+
+@query(_WIKI_PAGES)
+def wiki_pages(spark, sf_dir):
+    """Web pages as the items of a recorded wiki export, to documents."""
+    p, id_ = t(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    item = F.to_json(F.struct(
+        F.col("page_id").alias("id"), F.concat(F.lit("Page "), id_).alias("title"), F.struct(F.concat(F.lit("S"), (F.col("page_id") % 3).cast("string")).alias("key")).alias("space"), F.struct(F.lit("2026-02-01T12:00:00+02:00").alias("when")).alias("version"),
+        F.struct(F.concat(F.lit("/p/"), id_).alias("webui")).alias("_links"), F.struct(F.struct(F.array(F.struct(F.lit("web").alias("name"))).alias("results")).alias("labels")).alias("metadata"), F.struct(F.struct(F.col("html").alias("value")).alias("storage")).alias("body"),
+    ))
+    d = services.wiki_documents(p.select(item.alias("item")), "https://wiki.example/")
+    return d.select("path", "title", F.array_join("aliases", ",").alias("aliases"), F.array_join("tags", ",").alias("tags"), F.md5("body").alias("body_md5"), F.col("updated").cast("timestamp_ntz").alias("updated"))
+
+
+@query(r"""
+select 'EV-' || event_id path, 'EV-' || event_id || ' — ' || event_type title, event_type || ',Open,Task' tags, date_trunc('second', ts) updated,
+  '# ' || event_type || chr(10) || chr(10) || '- key: `EV-' || event_id || '`' || chr(10) || '- type: Task' || chr(10) || '- status: Open' || chr(10) || case when user_id % 2 = 0 then '- priority: High' || chr(10) else '' end
+    || '- url: https://issues.example/browse/EV-' || event_id || chr(10) || '- labels: ' || event_type || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || '## by ' || user_id || chr(10) || 'k is ' || json_extract_string(props, '$.k') || chr(10) body
+from events
+""")
+def issue_documents(spark, sf_dir):
+    """Events as the items of a recorded issue export, their descriptions as document trees."""
+    e, id_ = t(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    run = lambda text_: F.array(F.struct(F.lit("text").alias("type"), text_.alias("text")))
+    block = lambda kind, text_: F.struct(F.lit(kind).alias("type"), run(text_).alias("content"))
+    tree = F.struct(F.lit("doc").alias("type"), F.array(block("heading", F.concat(F.lit("by "), F.col("user_id").cast("string"))), block("paragraph", F.concat(F.lit("k is "), F.get_json_object("props", "$.k")))).alias("content"))
+    field = F.struct(
+        F.col("event_type").alias("summary"), tree.alias("description"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+0000'").alias("updated"), F.array("event_type").alias("labels"), F.struct(F.lit("Open").alias("name")).alias("status"),
+        F.struct(F.lit("Task").alias("name")).alias("issuetype"), F.when(F.col("user_id") % 2 == 0, F.struct(F.lit("High").alias("name"))).alias("priority"),
+    )
+    item = F.to_json(F.struct(F.concat(F.lit("EV-"), id_).alias("key"), field.alias("fields")))
+    d = services.issue_documents(e.select(item.alias("item")), "https://issues.example")
+    return d.select("path", "title", F.array_join("tags", ",").alias("tags"), F.col("updated").cast("timestamp_ntz").alias("updated"), "body")
+
+
 # --- links -------------------------------------------------------------------------------------------
 
 _LONG = "with s as (select distinct unnest(regexp_extract_all(text, '[A-Za-z0-9_:]{2,}')) name, item_id from benchmark), c as (select name, 'benchmark::i' || lpad(cast(item_id as varchar), 6, '0') fqn from s where length(name) >= 7)"
@@ -692,6 +736,45 @@ def index_pages(spark, sf_dir):
     return store.read("edge").select("relation", "src", "dst")
 
 
+def _stored(spark, sf_dir) -> Store:
+    """A new store that holds the documents by their sources, the parts as symbols by their brands, and one source with nothing."""
+    store = Store(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}", 8)
+    d = t(spark, sf_dir, "documents").where("source is not null").select("source", F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.md5("text").alias("hash"))
+    p = catalog(spark, sf_dir).select("source", F.concat(F.lit("p"), F.col("key").cast("string")).alias("path"), "name", "fqn")
+    known = d.select("source", F.lit("notes").alias("kind")).union(p.select("source", F.lit("code"))).distinct().union(spark.range(1).select(F.lit("empty"), F.lit("notes")))
+    store.put("source", known.select(F.lit("source").alias("source"), F.col("source").alias("path"), "kind"))
+    store.put("document", d)
+    store.put("symbol", p)
+    store.put("file", d.select("source", "path", "hash", F.lit("notes").alias("kind")).unionByName(p.select("source", "path", F.lit("code").alias("kind")).distinct(), allowMissingColumns=True))
+    return store
+
+
+@query("""
+with d as (select source, count(*) n from documents where source is not null group by source), p as (select p_brand source, count(*) n, count(distinct p_partkey) files from part group by p_brand)
+select source name, 'notes' kind, cast(0 as bigint) files, cast(0 as bigint) symbols, n documents from d union all select source, 'code', files, n, cast(0 as bigint) from p union all select 'empty', 'notes', 0, 0, 0
+""")
+def source_counts(spark, sf_dir):
+    """Every source of a store with its numbers, zeros kept."""
+    return Graph(_stored(spark, sf_dir)).list_sources().select("name", "kind", "files", "symbols", "documents")
+
+
+@query("""
+with a as (select distinct 'Item ' || item_id title, unnest([item_id * 3, item_id * 3 + 1, -1]) doc_id from benchmark)
+select distinct 'about' relation, 'decision:system:' || a.title src, 'document:' || d.source || ':' || d.doc_id dst from a join documents d using (doc_id) where d.source is not null
+""")
+def decision_edges(spark, sf_dir):
+    """Benchmark items as decisions about two documents each and one that isn't there, written twice: what they are about."""
+    store = _stored(spark, sf_dir)
+    b = t(spark, sf_dir, "benchmark").select("item_id", "text")
+    sources = t(spark, sf_dir, "documents").select("doc_id", "source")
+    wanted = b.select("item_id", F.explode(F.array(F.col("item_id") * 3, F.col("item_id") * 3 + 1, F.lit(-1).cast("long"))).alias("doc_id")).join(sources, "doc_id", "left")
+    tokens = wanted.groupBy("item_id").agg(F.collect_set(F.concat_ws(":", F.lit("Document"), F.coalesce("source", F.lit("gone")), F.col("doc_id").cast("string"))).alias("about"))
+    made = b.join(tokens, "item_id").select(F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), F.concat(F.lit("about "), "text").alias("body"), "about")
+    for rows in (made.where("substring(title, -1) < '5'"), made):
+        add_decisions(store, rows)
+    return store.read("edge").select("relation", "src", "dst")
+
+
 # --- increments --------------------------------------------------------------------------------------
 
 @query("""
