@@ -88,7 +88,7 @@ class Graph:
         if self.embedder.enabled:
             near = self.nearest_chunks(query, n, chunks)
             found = found.unionByName(search.hits(ask(near), "vector", F.col("parent"), search.distance_to_score(F.col("distance")), F.col("ordinal"), F.coalesce(text.excerpt(F.col("text"), query.strip()), F.substring("text", 1, 160))))
-        out = search.lifted(search.fused(found, n), self.store.read("edge").select("relation", "src", "dst").distinct(), limit=n)
+        out = search.lifted(self.store.staged(search.fused(found, n)), self.store.read("edge").select("relation", "src", "dst").distinct(), limit=n)
         return out.drop("query_id").withColumn("mode", F.lit("hybrid" if self.embedder.enabled else "fts")).orderBy("rank")
 
     def nearest_chunks(self, query: str, k: int = search.LIMIT, chunks: DataFrame | None = None) -> DataFrame:

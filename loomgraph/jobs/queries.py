@@ -14,7 +14,7 @@ from loomgraph.jobs.decisions import add_decisions
 from loomgraph.jobs.facade import Graph
 from loomgraph.jobs.index import import_bases, index
 from loomgraph.operators import graph, link, search
-from loomgraph.operators.store import Store, shared_folder
+from loomgraph.operators.store import Store, shared_folder, written
 from loomgraph.sources import services
 from loomgraph.sources.connectors import Source, note_fields
 from loomgraph.streaming import watch
@@ -561,8 +561,9 @@ def semantic_search(spark, sf_dir):
     named = _catalog_of_items(spark, sf_dir).select("fqn", needs("fqn", "name")).distinct()
     named = search.hits(top(named, [F.octet_length("fqn"), F.col("fqn")]), "symbol", symbol)
     vector = search.hits(_knn(spark, sf_dir).withColumnRenamed("id", "doc_id"), "vector", doc, search.distance_to_score(F.col("distance")))
-    mentions = _mentions(spark, sf_dir).select(F.lit("mentions").alias("relation"), doc.alias("src"), symbol.alias("dst"))
-    out = search.lifted(search.fused(vector.unionByName(chunk).unionByName(document).unionByName(named), 15), mentions, limit=15)
+    mentions = written(_mentions(spark, sf_dir).select(F.lit("mentions").alias("relation"), doc.alias("src"), symbol.alias("dst")), "mentions")
+    lists = written(search.fused(vector.unionByName(chunk).unionByName(document).unionByName(named), 15), "lists")
+    out = search.lifted(lists, mentions, limit=15)
     return out.select("query_id", "parent", F.round("vector", 5).alias("vector"), "chunk", "symbol", "document", F.round("lift", 6).alias("lift"), F.round("score", 5).alias("score"), "truncated", "rank")
 
 

@@ -32,6 +32,13 @@ def neighbors(edges: DataFrame, roots: DataFrame, limit: int = 25, total: int |
     return near.withColumn("at", place).where(F.col("at") <= total)
 
 
+def around(edges: DataFrame, roots: DataFrame, per_relation: int = 25, limit: int = 40) -> DataFrame:
+    """neighbors() in total, up to the edge that brings one node more than limit: also place, by which the other end is new, and others, how many there are."""
+    near = neighbors(edges, roots, per_relation, per_relation).withColumn("_first", F.min("at").over(W.partitionBy("node", "other")))
+    near = near.withColumn("place", F.dense_rank().over(W.partitionBy("node").orderBy("_first")))
+    return near.withColumn("others", F.max("place").over(W.partitionBy("node"))).where(F.col("place") <= limit).drop("_first")
+
+
 def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 40) -> DataFrame:
     """Breadth-first from every root at once: root, node, level, truncated; at most limit nodes of a root.
 

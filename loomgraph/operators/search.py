@@ -177,13 +177,12 @@ def lifted(lists: DataFrame, edges: DataFrame, roots: int = 3, neighbors: int =
     The first hits of each list are roots. An edge of a root's neighbourhood lifts the first hit of the list that is
     one of its ends, by GRAPH / (1 + nodes of that neighbourhood). A neighbourhood has at most `limit` nodes, the
     root among them; the edge that would bring one more is its last. A list is truncated if it or a neighbourhood is.
+    lists and edges are used more than once: hand them over as written tables where they are dear to compute.
     """
     top = lists.where(F.col("nth") <= roots).select("query_id", F.col("parent").alias("root"))
-    near = graph.neighbors(edges, top.select(F.col("root").alias("node")), neighbors, neighbors)
-    others = near.groupBy("node", "other").agg(F.min("at").alias("first"))
-    others = others.withColumns({"place": F.row_number().over(W.partitionBy("node").orderBy("first")), "n": F.count(F.lit(1)).over(W.partitionBy("node"))})
-    near = near.join(others, ["node", "other"]).where(F.col("place") <= limit)
-    sized = near.select(F.col("node").alias("root"), "other", "at", (GRAPH / (1 + F.least(1 + F.col("n"), F.lit(limit)))).alias("lift"), (F.col("n") >= limit).alias("cut"))
+    near = graph.around(edges, top.select(F.col("root").alias("node")), neighbors, limit)
+    lift = GRAPH / (1 + F.least(1 + F.col("others"), F.lit(limit)))
+    sized = near.select(F.col("node").alias("root"), "other", "at", lift.alias("lift"), (F.col("others") >= limit).alias("cut"))
     of_list = top.join(sized, "root")
     ends = of_list.select("query_id", "root", "at", "lift", F.explode(F.array_distinct(F.array("root", "other"))).alias("parent"))
     first = ends.join(lists.select("query_id", "parent", "nth"), ["query_id", "parent"]).groupBy("query_id", "root", "at").agg(F.min_by("parent", "nth").alias("parent"), F.max("lift").alias("lift"))
@@ -205,10 +204,7 @@ def explored(symbols: DataFrame, documents: DataFrame, edges: DataFrame, nodes:
     s, d = (x.where(F.col("nth") <= limit).select("query_id", "id", "source_filter", "nth", F.lit(name).alias("section")) for x, name in ((symbols, "symbol"), (documents, "document")))
     found = s.unionByName(d)
     top = found.where(F.col("nth") <= roots).select("query_id", "source_filter", F.col("id").alias("root")).distinct()
-    near = graph.neighbors(edges, top.select(F.col("root").alias("node")), NEIGHBORS, NEIGHBORS)
-    others = near.groupBy("node", "other").agg(F.min("at").alias("first"))
-    others = others.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("first")))
-    near = near.join(others, ["node", "other"]).where(F.col("place") <= limit)
+    near = graph.around(edges, top.select(F.col("root").alias("node")), NEIGHBORS, limit)
     related = top.join(near.withColumnRenamed("node", "root"), "root")
     full = found.groupBy("query_id", "section").agg((F.count(F.lit(1)) >= limit).alias("full")).unionByName(related.select("query_id", F.lit("").alias("section"), (F.col("place") >= limit).alias("full"))).groupBy("query_id").agg(F.max("full").alias("truncated"))
     blank = F.lit(None).cast("string")
