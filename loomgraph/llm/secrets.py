@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,22 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def outside(runs: Iterable[re.Match], spans: list[tuple[int, int, str]]) -> Iterator[re.Match]:
+    """Runs, in order, that overlap none of the spans, which are sorted by start; both are walked once."""
+    covered: list[list[int]] = []  # the spans' union
+    for start, end, _ in spans:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(end, covered[-1][1])
+        else:
+            covered.append([start, end])
+    at = 0
+    for m in runs:
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        if at == len(covered) or covered[at][0] >= m.end():
+            yield m
+
+
 def encoding(run: str) -> str | None:
     """The smallest alphabet that holds the run."""
     has = set(run)
@@ -110,9 +126,7 @@ def scan(docs: DataFrame, shares: dict[str, np.ndarray]) -> DataFrame:
                 spans = base_spans(text, low)
                 base.append([{"s": s, "e": e, "kind": k} for s, e, k in spans])
                 mine = []
-                for m in RUN.finditer(text):
-                    if any(s < m.end() and m.start() < e for s, e, _ in spans):
-                        continue
+                for m in outside(RUN.finditer(text), spans):
                     run = m.group().rstrip("=")
                     kind = encoding(run)
                     if kind:
