@@ -85,6 +85,18 @@ class Index:
             self.lengths[n].append(i)
             for b, (shift, mask) in enumerate(self.cuts):
                 self.blocks[n, b, int((self.prints[i] >> shift) & mask)].append(i)
+        #: Least weight of an item of each length, and the items of each shingle: sorted shingles beside item numbers.
+        self.longest = max(self.lengths, default=0)
+        self.least = {n: min(float(self.weigh(self.items[i][2])[1].sum()) for i in members) for n, members in self.lengths.items()}
+        every = np.concatenate([np.zeros(0, dtype=U64), *(own for _, _, own in self.items)])
+        order = np.argsort(every, kind="stable")
+        self.posted, self.owner = every[order], np.repeat(np.arange(len(self.items)), [len(own) for _, _, own in self.items])[order]
+
+    def sharing(self, shingles: np.ndarray) -> list[int]:
+        """Items that have one of the shingles."""
+        own = np.unique(shingles)
+        lo, hi = np.searchsorted(self.posted, own, "left"), np.searchsorted(self.posted, own, "right")
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(self.owner[a:b] for a, b in zip(lo, hi, strict=True) if a < b)])).tolist()
 
     def weigh(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each is a shingle of the block or of several items, and its weight."""
@@ -110,20 +122,19 @@ class Index:
         sums = None
         known_sum = np.concatenate([[0.0], np.cumsum(np.where(known, weight, 0.0))])
         rest_sum = np.concatenate([[0], np.cumsum(~known)])
-        for n, members in self.lengths.items():
-            if n < SHINGLE:
-                continue
-            if n > len(words):  # the whole document is the window
-                for i in members if known_sum[-1] > 0 else ():
-                    sim = self.verify(i, shingles)
-                    if sim >= self.similarity:
-                        found[self.items[i][0]] = max(sim, found.get(self.items[i][0], 0.0))
+        if len(words) < self.longest:  # of longer items the whole document is the window; those that share nothing have no similarity
+            for i in self.sharing(shingles[known]):
+                item, n, _ = self.items[i]
+                sim = self.verify(i, shingles) if n > len(words) and n >= SHINGLE else 0.0
+                if sim >= self.similarity:
+                    found[item] = max(sim, found.get(item, 0.0))
+        for n in self.lengths:
+            if n < SHINGLE or n > len(words):
                 continue
             k, starts = n - SHINGLE + 1, np.arange(len(words) - n + 1)
             # repeats in a window make its set smaller, so unknown shingles count once at most in the bound
             have, rest = known_sum[starts + k] - known_sum[starts], rest_sum[starts + k] - rest_sum[starts]
-            least = min(self.weigh(self.items[i][2])[1].sum() for i in members)
-            near = np.flatnonzero((have >= self.similarity * least - 1e-9) & (have > 0) & (rest < k))
+            near = np.flatnonzero((have >= self.similarity * self.least[n] - 1e-9) & (have > 0) & (rest < k))
             if not len(near):
                 continue
             if sums is None:
