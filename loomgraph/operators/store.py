@@ -67,7 +67,8 @@ class Store:
     def _all(self, table: str) -> DataFrame:
         if self._exists(f"{self.root}/{table}"):
             return self.spark.read.schema(self.schema(table)).parquet(f"{self.root}/{table}")
-        return self.spark.createDataFrame([], self.schema(table))
+        # known to be empty when a query is planned, so that nothing is shuffled to be joined with it
+        return self.spark.range(1).where("false").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema(table)))
 
     def read(self, table: str) -> DataFrame:
         """All rows of a table, none if nothing was written yet."""
