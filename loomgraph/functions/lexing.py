@@ -86,7 +86,7 @@ def blanked(text: str, lang: str) -> str:
     out, at = [], 0
     for a, b in sorted(gaps):
         if b > at:
-            out += text[at:max(a, at)], re.sub(r"[^\n]", " ", text[max(a, at) : b])
+            out += text[at:max(a, at)], "\n".join(" " * len(line) for line in text[max(a, at) : b].split("\n"))
             at = b
     return "".join((*out, text[at:]))
 
