@@ -1,4 +1,4 @@
-"""Embedders: text to unit vectors. The hashing one is deterministic and needs no model."""
+"""Embedders: text to unit vectors, in doubles; tables of the store keep them as floats. The hashing one is deterministic and needs no model."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 class Embedder(ABC):
@@ -21,13 +21,13 @@ class Embedder(ABC):
         """One row of `dimension` floats for each text."""
 
     def column(self, text: Column) -> Column:
-        @F.pandas_udf(ArrayType(FloatType()))
+        @F.pandas_udf(ArrayType(DoubleType()))
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for b in batches:
                 v = self.embed(["" if x is None else x for x in b])
                 if v.shape != (len(b), self.dimension):
                     raise ValueError(f"{len(b)} texts of dimension {self.dimension} asked for, {v.shape} embedded")
-                yield pd.Series(list(v.astype(np.float32)), index=b.index)
+                yield pd.Series(list(v.astype(np.float64)), index=b.index)
 
         return run(text)
 
@@ -65,4 +65,4 @@ def embedder(provider: str, dimension: int = 64) -> Embedder:
 
 def embed_chunks(chunks: DataFrame, by: Embedder) -> DataFrame:
     """chunks(parent, ordinal, text) with embedding; null where embeddings are off."""
-    return chunks.withColumn("embedding", by.column(F.col("text")) if by.enabled else F.lit(None).cast("array<float>"))
+    return chunks.withColumn("embedding", by.column(F.col("text")) if by.enabled else F.lit(None).cast("array<double>"))

@@ -283,7 +283,7 @@ select doc_id, cast(16 as bigint) dimension, round(sum(x * (nth + 1)), 4) weight
 def hash_embeddings(spark, sf_dir):
     """Vectors of whole texts by the hashing embedder: a weighted sum and the largest of their components."""
     d = t(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.col("doc_id").alias("parent"), "text")
-    v = embed_chunks(d, HashEmbedder(16)).select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = embed_chunks(d, HashEmbedder(16)).withColumnRenamed("embedding", "v")
     weighted = F.aggregate(F.zip_with("v", F.sequence(F.lit(1), F.lit(16)), lambda x, n: x * n), F.lit(0.0), lambda a, x: a + x)
     return v.select("doc_id", F.size("v").cast("long").alias("dimension"), F.round(weighted, 4).alias("weighted"), F.round(F.array_max("v"), 4).alias("largest"))
 

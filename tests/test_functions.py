@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import code, markup, text
+from loomgraph.functions.embed import HashEmbedder, embed_chunks
 from loomgraph.sources import services
 
 
@@ -104,3 +105,10 @@ def test_code_batches(spark):
 def test_incremental_query():
     assert services.incremental_query("project = A ORDER BY created", "2026/01/01 00:00") == '(project = A) AND updated >= "2026/01/01 00:00" ORDER BY updated ASC'
     assert services.incremental_query("", None) == "updated >= -3650d ORDER BY updated ASC"
+
+
+def test_embedded_in_doubles(spark):
+    d = spark.range(20).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    want = HashEmbedder(16).embed([f"text {i}" for i in range(20)])
+    got = embed_chunks(d, HashEmbedder(16)).orderBy("id").collect()
+    assert [r.embedding for r in got] == want.tolist()
