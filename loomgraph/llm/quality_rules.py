@@ -3,13 +3,14 @@
 Counted rules reject texts that are short or repeat themselves. The others are judged by a
 log-likelihood ratio: each word gives one hashed n-gram that takes in its neighbour, the last two characters
 of the word before and the word's own first two and last three, and two multinomials over the hash
-buckets are counted, of the trusted target (one half of the labelled documents of good quality, a bounded sample) and of the
+buckets are counted, of the trusted target (one half of the labelled documents of good quality) and of the
 raw corpus (every word of every document). The target is smoothed by the raw distribution, so a bucket that
 the target lacks has the same ratio at any size of the corpus. A document's score is the sum of
 log p_target / p_raw over its words, divided by its number of words plus SHRINK, so that short texts are
 judged with care. One threshold holds for every document: between the mean scores of the other good and of bad labelled
 documents, at the same number of standard deviations from both; without bad ones, six deviations below the
-good. Of each label at most TRUSTED_MOST documents count for it.
+good. Every labelled document counts, in the target or for the threshold. Documents meet their labels as
+arrays of buckets, two bytes a word, so that no text is shuffled however many labels there are.
 
 Cases: null, empty and blank texts have 0 words, fail the base and are not kept; an empty table gives
 no rows; without labels both multinomials agree, every score is 0 and only the base decides; repeated
@@ -23,14 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import table, written
 
 #: Word extraction: the six ASCII blanks as Java writes them.
 JAVA_WORD = r"[^\x20\x09-\x0D]+"
 #: The smoothing is a share of the target's words; deviations of scores count as LEAST_SPREAD at least.
 BUCKETS, SMOOTHING, SHRINK, LEAST_SPREAD = 1 << 15, 0.1, 10.0, 0.1
-#: Most documents of the trusted target; those with the least hash of doc_id, so that any cluster picks the same.
-TRUSTED_MOST = 20_000
 MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
@@ -48,17 +47,27 @@ def in_target(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2)) == 0
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MOST, quality: int = 1) -> DataFrame:
-    """At most `most` labelled documents of good quality, or of bad."""
-    return labels.where(F.col("quality") == quality).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def buckets(words_: str) -> Column:
+    """The bucket of each word of a column of words."""
+    return F.transform(words_, lambda w, i: bucket(w, F.get(words_, i - 1)))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_MOST) -> list[float]:
+def bucketed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, b: the buckets of the text's words, as a table."""
+    return written(docs.select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", buckets("_w").cast("array<short>").alias("b")), "buckets")
+
+
+def known(packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """packed(doc_id, b) -> good, target, b of every labelled document, as a table."""
+    of = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good")).distinct()
+    return written(packed.join(of, "doc_id").select("good", (F.col("good") & in_target(F.col("doc_id"))).alias("target"), "b"), "labelled")
+
+
+def log_ratios(packed: DataFrame, labelled: DataFrame) -> list[float]:
     """log p_target / p_raw of each bucket, with additive smoothing; as many numbers as there are buckets."""
-    ids = F.broadcast(trusted_ids(labels, most).where(in_target(F.col("doc_id"))).withColumn("trusted", F.lit(1)))  # at most `most` longs
-    each = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("trusted", words(F.col("text")).alias("_w"))
-    each = each.select("trusted", F.explode(F.transform("_w", lambda w, i: bucket(w, F.get("_w", i - 1)))).alias("b"))
-    counts = each.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
+    each = packed.select(F.lit(None).cast("int").alias("trusted"), F.lit(1).alias("own"), F.explode("b").alias("b"))
+    each = each.unionByName(labelled.where("target").select(F.lit(1).alias("trusted"), F.lit(None).cast("int").alias("own"), F.explode("b").alias("b")))
+    counts = each.groupBy("b").agg(F.count("own").alias("raw"), F.count("trusted").alias("target")).collect()
     raw, target = sum(r.raw for r in counts), sum(r.target for r in counts)
     out = [0.0] * BUCKETS
     if not target:
@@ -82,12 +91,18 @@ def _covered(ordered: str) -> Column:
     )["n"]
 
 
+def llr(buckets_: str, ratios: list[float]) -> Column:
+    """The score of a column of buckets."""
+    weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+    total = F.aggregate(buckets_, F.lit(0.0), lambda acc, b: acc + F.get(weights, b.cast("int")))
+    return F.round(total / (F.size(buckets_) + SHRINK), 9)
+
+
 def score(docs: DataFrame, ratios: list[float], threshold: float = 0.0) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept."""
     text = F.coalesce("text", F.lit(""))
-    weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     d = docs.withColumn("_w", words(F.col("text")))
-    d = d.withColumns({"_n": F.size("_w"), "_b": F.transform("_w", lambda w, i: bucket(w, F.get("_w", i - 1)))})
+    d = d.withColumns({"_n": F.size("_w"), "_b": buckets("_w")})
     # lines with a word, told apart by their text
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("_lines", F.when(F.instr(text, "\n") > 0, lines))
@@ -105,31 +120,30 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = 0.0) -> DataF
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0)).cast("long"),
         "n_repeat_words": F.when(F.col("_ordered").isNotNull() & (F.col("_fixed") >= 0), _covered("_ordered")).otherwise(F.lit(0)).cast("long"),
-        "_sum": F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.get(weights, b)),
+        "llr": llr("_b", ratios),
         "_fixed": fixed,
     })
     d = d.withColumn("base_failed", (F.col("_fixed") < 0) | (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
-    d = d.withColumn("llr", F.round(F.col("_sum") / (F.col("n_words") + SHRINK), 9))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return d.drop("_w", "_n", "_b", "_lines", "_wh", "_windows", "_ordered", "_sum", "_fixed")
+    return d.drop("_w", "_n", "_b", "_lines", "_wh", "_windows", "_ordered", "_fixed")
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], most: int = TRUSTED_MOST) -> float:
-    """The score from which on documents are kept, from the scores of at most `most` good and bad labelled ones."""
-    ids = trusted_ids(labels, most).where(~in_target(F.col("doc_id"))).withColumn("_good", F.lit(1)).union(trusted_ids(labels, most, 0).withColumn("_good", F.lit(0)))
-    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * `most` rows
-    by = score(known, ratios).where("n_words > 0").groupBy("_good").agg(F.avg("llr").alias("mean"), F.stddev_pop("llr").alias("spread")).collect()
-    at = {r["_good"]: (r.mean, max(LEAST_SPREAD, r.spread)) for r in by}
-    if 1 not in at:
+def threshold(labelled: DataFrame, ratios: list[float]) -> float:
+    """The score from which on documents are kept, from the scores of all labelled ones outside the target."""
+    by = labelled.where("not target and size(b) > 0").select("good", llr("b", ratios).alias("llr")).groupBy("good").agg(F.avg("llr").alias("mean"), F.stddev_pop("llr").alias("spread")).collect()
+    at = {r.good: (r.mean, max(LEAST_SPREAD, r.spread)) for r in by}
+    if True not in at:
         return -math.inf
-    (good, wide), (bad, narrow) = at[1], at.get(0, (math.inf, LEAST_SPREAD))
+    (good, wide), (bad, narrow) = at[True], at.get(False, (math.inf, LEAST_SPREAD))
     return round((good * narrow + bad * wide) / (wide + narrow) if bad < good else good - 6 * wide, 6)
 
 
-def judge(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_MOST) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts the corpus, sets the threshold, then judges each of the documents."""
-    ratios = log_ratios(docs, labels, most)
-    return score(docs, ratios, threshold(docs, labels, ratios, most))
+    packed = bucketed(docs)
+    labelled = known(packed, labels)
+    ratios = log_ratios(packed, labelled)
+    return score(docs, ratios, threshold(labelled, ratios))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

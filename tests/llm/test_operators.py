@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -298,6 +299,21 @@ def test_quality_rules(docs, labels, nothing):
     assert not quality_rules.judge(nothing, labels).collect()
 
 
+def test_quality_rules_learn_from_all_labels(spark):
+    """Counts and threshold of more labelled documents than any bounded number of them would tell."""
+    d = spark.range(0, 41_000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 997 == 0, "rare words").otherwise("frequent words").alias("text"))
+    labels = d.select("doc_id", (F.col("doc_id") % 41 > 0).cast("int").alias("quality"))
+    packed = quality_rules.bucketed(d)
+    labelled = quality_rules.known(packed, labels)
+    assert labelled.count() == 41_000
+    got = quality_rules.log_ratios(packed, labelled)
+    own = d.join(labels, "doc_id").select("text", (quality_rules.in_target(F.col("doc_id")) & (F.col("quality") == 1)).alias("target"), quality_rules.bucket(F.split("text", " ")[0], F.lit(None)).alias("b")).collect()
+    raw, target = Counter(r.b for r in own), Counter(r.b for r in own if r.target)
+    n, m = 2 * len(own), 0.2 * sum(target.values())
+    for b in raw:
+        assert abs(got[b] - math.log((target[b] + m * raw[b] / n) / (10 * m + m)) + math.log(raw[b] / n)) < 1e-9
+
+
 def test_decontamination(spark, docs, nothing):
     rows = cases.documents()
     items = [(0, " ".join(rows[12][1].split()[30:80])), (1, " ".join(rows[6][1].split()[50:100])), (2, "two words"), (3, None), (4, ""), (5, " ".join(cases.prose(77, 40))), (1, " ".join(rows[6][1].split()[50:100]))]
