@@ -7,9 +7,9 @@ context features (signs and cue words around it); boosted trees, grown level by
 gradients by leaf, feature and bin that Spark gathers, give it a probability of being personal data.
 Labels come from normal forms (`labelled`): a candidate is positive if it is a base span or becomes one
 once its signs are spelled plainly (`[at]` to `@`, loose separators of a card, `00` or a cue word such as
-`tel` in place of `+`). As a corpus may hold few of those forms, every second base span goes into the
-sample in such forms too (`disguised`), in its own context. The sample is bounded (FIT_MOST candidates,
-the least hashes). The threshold is the least score at which the sample's held-out part reaches PRECISION;
+`tel` in place of `+`). As a corpus may hold few of those forms, every second base span joins the
+candidates in such forms too (`disguised`), in its own context. All candidates count: those of equal binned features
+and label are one weighted row, which trees can't tell from the single ones. The threshold is the least score at which the held-out fourth of the candidates reaches PRECISION;
 candidates from it on that overlap no base span are redacted as well, as kind `other`.
 
 Places are code points: sums of the lengths of matches and of the pieces between them, kept for each
@@ -53,7 +53,7 @@ CALLED = r"(?i)\b(tel|telephone|phone|call|mobile|cell|fax)[.:]?[^0-9a-z]{0,3}$"
 #: Matches of a text whose lengths are summed at once.
 BLOCK = 128
 CUES = r"(?i)(tel|phone|call|mail|card|visa|ip|addr|host|contact)"
-FIT_MOST, TREES, DEPTH, SHRINKAGE, LEAST_GAIN, PRECISION = 20_000, 8, 2, 0.5, 1e-3, 0.98
+TREES, DEPTH, SHRINKAGE, LEAST_GAIN, PRECISION = 8, 2, 0.5, 1e-3, 0.98
 FEATURES = {
     "n_chars": (4, 8, 10, 12, 14, 16, 18, 20, 24), "n_digits": (0, 4, 6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 18, 19), "n_groups": (1, 2, 3, 4, 5), "n_dots": (0, 1, 2, 3, 4),
     "n_dashes": (0, 1, 3), "n_spaces": (0, 1, 3), "plus": (0,), "at": (0,), "letters": (0, 5, 10), "brackets": (0,), "lead": (0, 1, 2, 3, 4, 5, 6, 7, 8), "before": (0, 1, 2), "after": (0, 1, 2), "cue": (0,),
@@ -197,6 +197,11 @@ def tree_value(tree: list | float) -> Column:
     return F.when(F.col(f"f_{name}") <= bin_, tree_value(low)).otherwise(tree_value(high))
 
 
+def rounded(x: float) -> float:
+    """Nine digits: the order of a sum doesn't decide between equal cuts."""
+    return float(f"{x:.9g}")
+
+
 def boost(sample: DataFrame, trees: int = TREES, depth: int = DEPTH) -> tuple[float, list]:
     """Trees from the sample (features binned, label 0 or 1, weight), by sums of gradients for each leaf, feature and bin.
 
@@ -229,7 +234,7 @@ def boost(sample: DataFrame, trees: int = TREES, depth: int = DEPTH) -> tuple[fl
                     for r in sorted((r for r in rows if r.leaf == node and r.feature == k), key=lambda r: r.bin):
                         gl, hl = gl + r.g, hl + r.h
                         gr, hr = sums[node][0] - gl, sums[node][1] - hl
-                        gain = round(gl * gl / (hl + 1) + gr * gr / (hr + 1) - sums[node][0] ** 2 / (sums[node][1] + 1), 9)
+                        gain = rounded(gl * gl / (hl + 1) + gr * gr / (hr + 1) - sums[node][0] ** 2 / (sums[node][1] + 1))
                         if gain > best[0]:
                             best = (gain, k, r.bin)
                 if best[1]:
@@ -245,15 +250,16 @@ def boost(sample: DataFrame, trees: int = TREES, depth: int = DEPTH) -> tuple[fl
     return start, grown
 
 
-def fit(candidates: DataFrame, most: int = FIT_MOST) -> tuple[float, list, float]:
-    """Start, trees and calibrated threshold from the candidates (features, label), a bounded sample of them."""
-    order = F.xxhash64("m", "before", "after")
-    sample = written(candidates.withColumn("o", order).orderBy("o", "m", "before", "after", "label").limit(most).withColumns({"weight": F.lit(1.0), "test": F.pmod(F.col("o"), F.lit(4)) == 0}), "sample")
+def fit(candidates: DataFrame) -> tuple[float, list, float]:
+    """Start, trees and calibrated threshold from all candidates (features, label)."""
+    test = F.pmod(F.xxhash64("m", "before", "after"), F.lit(4)) == 0
+    cells = candidates.groupBy(*(f"f_{k}" for k in FEATURES), "label", test.alias("test")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    sample = written(cells, "cells")
     start, grown = boost(sample.where("not test"))
     if not grown:
         return 0.0, [], math.inf
     margin = F.round(sum((tree_value(t) for t in grown), F.lit(start)), 6)
-    by = sample.where("test").groupBy(margin.alias("z")).agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()  # as many as sums of leaves
+    by = sample.where("test").groupBy(margin.alias("z")).agg(F.sum(F.col("label") * F.col("weight")).alias("pos"), F.sum("weight").alias("n")).collect()  # as many as sums of leaves
     threshold, pos, n = math.inf, 0, 0
     for r in sorted(by, key=lambda r: -r.z):
         pos, n = pos + r.pos, n + r.n
@@ -262,15 +268,15 @@ def fit(candidates: DataFrame, most: int = FIT_MOST) -> tuple[float, list, float
     return start, grown, threshold
 
 
-def find_personal_data(docs: DataFrame, most: int = FIT_MOST) -> DataFrame:
+def find_personal_data(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, base and other: arrays of spans (s, k, e, kind, m), sorted."""
     found = written(spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
-    each = written(labelled(compared(found)), "candidates")
-    start, grown, threshold = fit(features(each.unionByName(disguised(each))), most)
+    each = written(features(labelled(compared(found))), "candidates")
+    start, grown, threshold = fit(each.unionByName(features(disguised(each))))
     if grown and threshold < math.inf:
         margin = F.round(sum((tree_value(t) for t in grown), F.lit(start)), 6)
         span = F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.lit("other").alias("kind"), "m")
-        more = features(each).where(~F.col("over") & (margin >= threshold)).groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("other"))
+        more = each.where(~F.col("over") & (margin >= threshold)).groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("other"))
     else:
         more = found.select("row", F.lit(None).cast("array<struct<s:int,k:int,e:int,kind:string,m:string>>").alias("other")).where("false")
     empty = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,m:string>>")

@@ -392,6 +392,14 @@ def test_boosting_learns(spark):
     assert got[1] > 1 > -1 > got[0]
 
 
+def test_boosting_learns_from_all_candidates(spark):
+    """The trees start from the share of positive ones among all candidates that aren't held out."""
+    c = spark.range(25_000).select(F.concat(F.lit("+49 30 "), F.col("id").cast("string")).alias("m"), F.lit(" x ").alias("before"), F.lit(".").alias("after"), (F.col("id") % 9 == 0).cast("int").alias("label"))
+    own = c.where(F.pmod(F.xxhash64("m", "before", "after"), F.lit(4)) != 0).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
+    start, _, _ = pii.fit(pii.features(c).withColumn("exact", F.lit(False)))
+    assert start == math.log(own.pos / (own.n - own.pos))
+
+
 def test_personal_data_in_other_forms(spark):
     """Planted spelled-out addresses and numbers are found at recall 0.9 or more, other numbers left alone."""
     plain = [(i, f"Write to anna.{i}@post{i % 7}.example.org or call +1 ({200 + i % 700}) 555-{1000 + i}. Order {10**11 + i * 7919} of 2024-01-{1 + i % 28:02d} 10:30") for i in range(300)]
