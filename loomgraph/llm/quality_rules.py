@@ -9,8 +9,9 @@ the target lacks has the same ratio at any size of the corpus. A document's scor
 log p_target / p_raw over its words, divided by its number of words plus SHRINK, so that short texts are
 judged with care. One threshold holds for every document: between the mean scores of the other good and of bad labelled
 documents, at the same number of standard deviations from both; without bad ones, six deviations below the
-good. Every labelled document counts, in the target or for the threshold. Documents meet their labels as
-arrays of buckets, two bytes a word, so that no text is shuffled however many labels there are.
+good. Every labelled document counts, in the target or for the threshold. Documents that can be of the target meet
+their labels as arrays of buckets, two bytes a word, all others as a score, so that no text is shuffled however
+many labels there are.
 
 Cases: null, empty and blank texts have 0 words, fail the base and are not kept; an empty table gives
 no rows; without labels both multinomials agree, every score is 0 and only the base decides; repeated
@@ -57,10 +58,13 @@ def bucketed(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", buckets("_w").cast("array<short>").alias("b")), "buckets")
 
 
-def known(packed: DataFrame, labels: DataFrame) -> DataFrame:
-    """packed(doc_id, b) -> good, target, b of every labelled document, as a table."""
-    of = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good")).distinct()
-    return written(packed.join(of, "doc_id").select("good", (F.col("good") & in_target(F.col("doc_id"))).alias("target"), "b"), "labelled")
+def known(each: DataFrame, labels: DataFrame) -> DataFrame:
+    """each(doc_id, ...) -> good, target, ... of every labelled document.
+
+    Labels grow with the documents, so they are merged with them at any size and never sent whole to every task.
+    """
+    of = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good")).distinct().hint("merge")
+    return each.join(of, "doc_id").withColumn("target", F.col("good") & in_target(F.col("doc_id"))).select("good", "target", *(c for c in each.columns if c != "doc_id"))
 
 
 def log_ratios(packed: DataFrame, labelled: DataFrame) -> list[float]:
@@ -128,9 +132,10 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = 0.0) -> DataF
     return d.drop("_w", "_n", "_b", "_lines", "_wh", "_windows", "_ordered", "_fixed")
 
 
-def threshold(labelled: DataFrame, ratios: list[float]) -> float:
+def threshold(packed: DataFrame, labels: DataFrame, ratios: list[float]) -> float:
     """The score from which on documents are kept, from the scores of all labelled ones outside the target."""
-    by = labelled.where("not target and size(b) > 0").select("good", llr("b", ratios).alias("llr")).groupBy("good").agg(F.avg("llr").alias("mean"), F.stddev_pop("llr").alias("spread")).collect()
+    scored = packed.where("size(b) > 0").select("doc_id", llr("b", ratios).alias("llr"))
+    by = known(scored, labels).where("not target").groupBy("good").agg(F.avg("llr").alias("mean"), F.stddev_pop("llr").alias("spread")).collect()
     at = {r.good: (r.mean, max(LEAST_SPREAD, r.spread)) for r in by}
     if True not in at:
         return -math.inf
@@ -141,9 +146,8 @@ def threshold(labelled: DataFrame, ratios: list[float]) -> float:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts the corpus, sets the threshold, then judges each of the documents."""
     packed = bucketed(docs)
-    labelled = known(packed, labels)
-    ratios = log_ratios(packed, labelled)
-    return score(docs, ratios, threshold(labelled, ratios))
+    ratios = log_ratios(packed, known(packed, labels))
+    return score(docs, ratios, threshold(packed, labels, ratios))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

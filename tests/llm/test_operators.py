@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+import statistics
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -314,6 +316,24 @@ def test_quality_rules_learn_from_all_labels(spark):
         assert abs(got[b] - math.log((target[b] + m * raw[b] / n) / (10 * m + m)) + math.log(raw[b] / n)) < 1e-9
 
 
+def test_quality_rules_shuffle_words_of_possible_targets_only(spark):
+    """Words are shuffled of no document that can't be of the target, by the same plan at any size; the threshold equals one by hand."""
+    d = spark.range(0, 3_000, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.hex(F.xxhash64("id", i))), " ").alias("text"))
+    labels = d.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    packed = quality_rules.bucketed(d)
+    target = quality_rules.known(packed, labels).where("target").select("b")
+    plan = target._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert re.search(r"Exchange hashpartitioning\(doc_id[^\n]*\n[^\n]*Filter[^\n]*xxhash64\(doc_id[^\n]*\n[^\n]*FileScan parquet \[doc_id[^\n]*b#", plan)
+    of = {r.doc_id: (r.quality, r.t) for r in labels.withColumn("t", quality_rules.in_target(F.col("doc_id"))).collect()}
+    assert target.count() == sum(q and t for q, t in of.values())
+    ratios = quality_rules.log_ratios(packed, quality_rules.known(packed, labels))
+    scores = {r.doc_id: r.llr for r in quality_rules.score(d, ratios).select("doc_id", "llr").collect()}
+    good, bad = [scores[i] for i, (q, t) in of.items() if q and not t], [scores[i] for i, (q, t) in of.items() if not q]
+    (g, wide), (b, narrow) = ((statistics.fmean(x), max(quality_rules.LEAST_SPREAD, statistics.pstdev(x))) for x in (good, bad))
+    assert abs(quality_rules.threshold(packed, labels, ratios) - ((g * narrow + b * wide) / (wide + narrow) if b < g else g - 6 * wide)) < 2e-6
+
+
 def test_decontamination(spark, docs, nothing):
     rows = cases.documents()
     items = [(0, " ".join(rows[12][1].split()[30:80])), (1, " ".join(rows[6][1].split()[50:100])), (2, "two words"), (3, None), (4, ""), (5, " ".join(cases.prose(77, 40))), (1, " ".join(rows[6][1].split()[50:100]))]
