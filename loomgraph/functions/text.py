@@ -17,8 +17,8 @@ def identifiers(body: Column) -> Column:
 
 
 def issue_keys(text: Column) -> Column:
-    """Distinct issue keys such as QX-901, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]{1,9}-[0-9]{1,6}(?![A-Za-z0-9_])"), F.lit(0)))
+    """Distinct issue keys such as QX-901, in order of appearance; only where a capital stands is looked at what is before it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z](?<![A-Za-z0-9_][A-Z])[A-Za-z0-9]{1,9}-[0-9]{1,6}(?![A-Za-z0-9_])"), F.lit(0)))
 
 
 def extension(path: Column) -> Column:

@@ -135,14 +135,17 @@ def _apply(store: Store, report: Report, status: DataFrame, found: DataFrame, se
     parsed = code.symbols(todo.where(of_kind("code")).select(F.concat_ws("\t", "source", "path").alias("id"), "path", "language", "content"))
     parsed = store.staged(parsed.withColumns({"source": F.split_part("id", F.lit("\t"), F.lit(1)), "path": F.split_part("id", F.lit("\t"), F.lit(2))}).drop("id"))
     noted = note_fields(todo.where(of_kind("notes")).select(*KEYS, "hash", "updated", F.decode("content", "UTF-8").alias("raw")), "raw", "path")
+    if "notes" in kinds.values():
+        noted = store.staged(noted)
+    # documents that come ready are read from where the items were staged, not written once more
     given = todo.where(of_kind("issues", *PAGES)).select(*KEYS, "hash", "updated", "doc.*").withColumn("links", F.array().cast("array<string>"))
-    docs = store.staged(noted.unionByName(given))
+    docs = noted.unionByName(given)
     keys = todo.where(of_kind("code")).select(*KEYS, F.decode("content", "UTF-8").alias("body")).unionByName(docs.where(of_kind(*PAGES)).select(*KEYS, "body"))
     keyed = keys.select(*KEYS, F.explode(text.issue_keys(F.col("body"))).alias("target")).withColumn("what", F.lit("key"))
     symbols = parsed.where("what = 'symbol'")
     symbols = symbols.groupBy(*KEYS, "fqn").agg(F.max_by(F.struct("kind", "name", "signature", "start_line", "end_line", "hash"), F.struct("start_line", "end_line", "hash")).alias("s")).select(*KEYS, "fqn", "s.*")
     candidates = parsed.where("what <> 'symbol'").select(*KEYS, "what", "fqn", "target", "confidence", "evidence")
-    linked = docs.select(*KEYS, F.explode("links").alias("target")).withColumn("what", F.lit("link"))
+    linked = noted.select(*KEYS, F.explode("links").alias("target")).withColumn("what", F.lit("link"))
     candidates = candidates.unionByName(linked.unionByName(keyed), allowMissingColumns=True).dropDuplicates([*KEYS, "what", "fqn", "target"])
 
     old_symbols, old_docs = store.of("symbol", done, of_code).select("source", "name", "fqn"), store.of("document", done, of_docs).select(*KEYS, "title", "aliases")
@@ -153,15 +156,16 @@ def _apply(store: Store, report: Report, status: DataFrame, found: DataFrame, se
     always = F.lit(True)
     report.close(store.put("symbol", report.watch(symbols, {"symbols": always}), done, of_code))
     store.put("candidate", candidates, done, parts)
+    whats = {r.what for r in store.read("candidate").select("what").distinct().collect()}  # four at most
     report.close(store.put("document", report.watch(docs.drop("links"), {"documents": always}), done, of_docs))
     if settings.embedder.enabled:
         report.close(store.put("chunk", report.watch(embed_chunks(chunks(symbols, docs), settings.embedder), {"chunks": always}), done, parts))
     else:
         store.put("chunk", None, done, parts)
     present = store.read("file").join(done, KEYS, "left_anti").select(KEYS).unionByName(status.where("status in ('added', 'changed')").select(KEYS))
-    again = store.staged(done.unionByName(present).distinct() if broken else touched(store, done, names, ends, paths, kinds))
+    again = store.staged(done.unionByName(present).distinct() if broken else touched(store, done, names, ends, paths, kinds, whats))
     relations = {"imports": ["imports"], "calls": ["calls"], "references": ["references"], "mentions": ["mentions"], "explains": ["explains"], "resolves": ["resolves"], "broken_links": ["broken"]}
-    made = report.watch(edges(store, again, done, present, settings, kinds), {c: F.col("relation").isin(r) for c, r in relations.items()})
+    made = report.watch(edges(store, again, done, present, settings, kinds, whats), {c: F.col("relation").isin(r) for c, r in relations.items()})
     report.close(store.put("edge", made.where("relation <> 'broken'"), again))
     store.put("file", todo.select(*KEYS, "kind", "language", "hash", "updated"), done, parts)
     store.write_meta(linking="done")
@@ -187,22 +191,27 @@ def _bases(imports: DataFrame) -> DataFrame:
     return wanted.withColumn("base", F.concat_ws("\t", F.split_part("id", F.lit("\t"), F.lit(1)), "base"))
 
 
-def touched(store: Store, done: DataFrame, names: DataFrame, ends: DataFrame, paths: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def _of_what(candidates: DataFrame, what: str, whats: set[str]) -> DataFrame:
+    """Candidates of a kind; where there is none at all the planner knows, so that nothing is read or shuffled to be joined with them."""
+    return candidates.where(F.col("what") == what if what in whats else F.lit(False))
+
+
+def touched(store: Store, done: DataFrame, names: DataFrame, ends: DataFrame, paths: DataFrame, kinds: dict[str, str], whats: set[str]) -> DataFrame:
     """Files whose edges can change: those done, and those that name a symbol, path, note or issue that appeared or went.
 
     names(source, name, fqn) and ends(source, path, title, aliases) are of files done, before and after. Mentions
-    are found by one scan of the stored bodies against the changed names.
+    are found by one scan of the stored bodies against the changed names. whats: the kinds of candidates that are stored.
     """
     c = store.read("candidate")
-    calls = c.where("what = 'call'").join(names.select("source", F.col("name").alias("target")).distinct(), ["source", "target"], "left_semi")
-    tried = _bases(c.where("what = 'import'")).select("id", "base")
+    calls = _of_what(c, "call", whats).join(names.select("source", F.col("name").alias("target")).distinct(), ["source", "target"], "left_semi")
+    tried = _bases(_of_what(c, "import", whats)).select("id", "base")
     suffixes = F.explode(F.array(*map(F.lit, link.SUFFIXES)))
     imports = tried.select("id", "base", suffixes.alias("end")).withColumn("base", F.concat("base", "end")).join(paths.select(_keyed("source", "path").alias("base")).distinct(), "base", "left_semi")
     imports = imports.select(F.split_part("id", F.lit("\t"), F.lit(1)).alias("source"), F.split_part("id", F.lit("\t"), F.lit(2)).alias("path"))
     keys = link.link_targets(ends).select("source", F.lower("key").alias("key")).distinct()
-    links = c.where("what = 'link'").withColumn("key", F.lower("target")).join(keys, ["source", "key"], "left_semi")
+    links = _of_what(c, "link", whats).withColumn("key", F.lower("target")).join(keys, ["source", "key"], "left_semi")
     issues = ends.where(F.col("source").isin([n for n, k in kinds.items() if k == "issues"])).select(F.col("path").alias("target")).distinct()
-    cited = c.where("what = 'key'").join(issues, "target", "left_semi")
+    cited = _of_what(c, "key", whats).join(issues, "target", "left_semi")
     tokens = names.select(F.explode(F.array("name", "fqn")).alias("token")).distinct()
     said = store.read("document").select(*KEYS, F.explode(text.identifiers(F.col("body"))).alias("token")).join(tokens, "token", "left_semi")
     out = done.select(KEYS)
@@ -211,7 +220,7 @@ def touched(store: Store, done: DataFrame, names: DataFrame, ends: DataFrame, pa
     return out.distinct()
 
 
-def edges(store: Store, of: DataFrame, done: DataFrame, present: DataFrame, settings: Settings, kinds: dict[str, str]) -> DataFrame:
+def edges(store: Store, of: DataFrame, done: DataFrame, present: DataFrame, settings: Settings, kinds: dict[str, str], whats: set[str]) -> DataFrame:
     """All edges that come from the files in of (source, path), all files being present.
 
     source, path, relation, src, dst and what is known of each; links to nothing have the relation `broken`. What was
@@ -231,17 +240,17 @@ def edges(store: Store, of: DataFrame, done: DataFrame, present: DataFrame, sett
     out = made(code_files, "contains", root, node("file", "source", "path")).unionByName(made(d, "contains", root, node("document", "source", "path")))
     out = out.unionByName(made(s, "defines", node("file", "source", "path"), node("symbol", "source", "fqn")))
 
-    imports = c.where("what = 'import'")
+    imports = _of_what(c, "import", whats)
     to = link.resolve_imports(_bases(imports), present.select(_keyed("source", "path").alias("path"))).select(F.col("id").alias("_id"), F.split_part("path", F.lit("\t"), F.lit(2)).alias("to"))
     imported = imports.withColumn("_id", F.concat_ws("\t", "source", "path", "target")).join(to, "_id").where("path <> to")
     out = out.unionByName(made(imported, "imports", node("file", "source", "path"), node("file", "source", "to"), confidence=F.col("confidence"), evidence=F.col("evidence")))
 
-    calls = c.where("what = 'call'").withColumn("call_id", F.concat_ws("\t", "source", "path", "fqn", "target"))
+    calls = _of_what(c, "call", whats).withColumn("call_id", F.concat_ws("\t", "source", "path", "fqn", "target"))
     called = link.resolve_calls(calls.select("call_id", "source", F.col("target").alias("name"), F.col("path").alias("file")), every_symbol.withColumnRenamed("path", "file"))
     called = calls.join(called.withColumnRenamed("fqn", "to"), "call_id").where("fqn <> to")
     out = out.unionByName(made(called, "calls", node("symbol", "source", "fqn"), node("symbol", "source", "to"), confidence=F.col("confidence"), evidence=F.col("evidence")))
 
-    links = c.where("what = 'link'").withColumn("id", _keyed("source", "path"))
+    links = _of_what(c, "link", whats).withColumn("id", _keyed("source", "path"))
     ends = link.resolve_wikilinks(links.select("id", "source", "target"), store.read("document").select("source", "path", "title", "aliases")).withColumnRenamed("path", "to")
     noted = links.join(ends, ["id", "source", "target"])
     to_doc = F.when(F.col("to").isNotNull(), node("document", "source", "to")).otherwise(F.col("target"))
@@ -261,7 +270,7 @@ def edges(store: Store, of: DataFrame, done: DataFrame, present: DataFrame, sett
     out = out.unionByName(held.join(still, [*KEYS, "dst"], "left_semi").select(out.columns))
 
     issues = store.read("document").where(F.col("source").isin([n for n, k in kinds.items() if k == "issues"])).groupBy(F.col("path").alias("target")).agg(F.min(node("document", "source", "path")).alias("to"))
-    cited = c.where("what = 'key'").join(issues, "target")
+    cited = _of_what(c, "key", whats).join(issues, "target")
     out = out.unionByName(made(cited.join(s.select(*KEYS, F.col("fqn").alias("own")), KEYS), "resolves", node("symbol", "source", "own"), F.col("to"), evidence=F.col("target")))
     out = out.unionByName(made(cited.join(d.select(KEYS), KEYS), "references", node("document", "source", "path"), F.col("to"), evidence=F.col("target")))
     return out.dropDuplicates([*KEYS, *EDGE])

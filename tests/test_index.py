@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from loomgraph.functions.embed import HashEmbedder, embedder
+from loomgraph.jobs import index as job
 from loomgraph.jobs.index import COUNTERS, Settings, Source, index
 from loomgraph.operators.store import Store
 
@@ -169,6 +170,21 @@ def test_forced_when_chunks_are_wanted(spark, tree):
     assert index(spark, store, own, Settings(embedder=HashEmbedder(8)))["log"]["indexed"] == 0
 
 
+def test_ready_documents_are_staged_once(spark, tree, monkeypatch):
+    """Bodies of given documents are written once before their table, and kinds of candidates that nothing has aren't planned."""
+    staged, real = [], Store.staged
+    monkeypatch.setattr(Store, "staged", lambda self, df: staged.append(df.schema.simpleString()) or real(self, df))
+    store, schema = Store(spark, f"file://{tree}/store", 4), "path string, title string, aliases array<string>, tags array<string>, body string, hash string, updated timestamp"
+    docs = spark.createDataFrame([(str(i), f"Page {i}", [], [], f"see KEY-{i % 3}", str(i), None) for i in range(9)], schema)
+    keys = spark.createDataFrame([(f"KEY-{i}", f"KEY-{i}", [], [], "", "h", None) for i in range(2)], schema)
+    index(spark, store, [Source("board", "issues", ""), Source("pages", "wiki", "")], given={"pages": docs, "board": keys})
+    assert sum("body:" in x for x in staged) == 1
+    assert {x for x in edges(store) if x[0] == "references"} == {("references", f"document:pages:{i}", f"document:board:KEY-{i % 3}") for i in range(9) if i % 3 < 2}
+    of = store.read("file").select("source", "path")
+    plan = job.edges(store, of, of, of, Settings(), {"pages": "wiki", "board": "issues"}, {"key"})._jdf.queryExecution().executedPlan().toString()
+    assert "tier" not in plan
+
+
 def test_bad_configurations(spark, tree):
     store = Store(spark, f"file://{tree}/store", 8)
     for bad in ([], [Source("a", "other", "x")], [Source("a", "code", "x"), Source("a", "notes", "y")]):
