@@ -229,6 +229,39 @@ def test_line_dedup_orders_of_words(spark):
     assert _kept_lines(spark, lines) == want
 
 
+def test_line_dedup_packs_signatures(spark):
+    """A class costs its signatures' keys, fingerprints and letters at most once each, compressed, in however many buckets."""
+    lines = spark.createDataFrame([(i, " ".join(cases.prose(i, 30)), "en", "s", 0) for i in range(4000)], cases.SCHEMA).selectExpr("doc_id", "text", "doc_id as row").coalesce(1)
+    each = lines.mapInArrow(line_dedup.line_rows, f"row long, doc_id long, {line_dedup.LINES}")
+    rows = line_dedup.signature_rows(each, 4, line_dedup.plan(10**6))
+    size = rows.select(sum(F.length(c) for c, kind in rows.dtypes if kind == "binary").alias("size")).agg(F.sum("size")).first()[0]
+    assert size < 440 * 4000
+
+
+def test_line_dedup_parts_large_groups(spark):
+    """Lines of the same letters in other orders are candidates, not alike: pairs of letters part them before they are verified; what is alike stays together."""
+    r, rows = np.random.default_rng(5), []
+    words = cases.prose(55, 40)
+    for i in range(60):
+        own = [*words[:20], *"".join(r.permutation(list(" ".join(words[20:])))).split()]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-1], own[-1] + "x"]))]
+    sketch = lambda batches: line_dedup.pair_rows(b for b in batches)
+    norm = spark.createDataFrame(rows, "key long, norm string")
+    kinds = "key long, sim long, length int, counts binary, picks array<long>"
+    fine = line_dedup.candidate_groups(norm.mapInArrow(sketch, kinds), len(rows), 2, 0.9, line_dedup.PAIRS, 4)
+    got = {x.key: x.grp for x in fine.collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(60)) and len(set(got.values())) > 30
+
+
+def test_line_dedup_contracts_chains(spark):
+    r = np.random.default_rng(9)
+    name = r.permutation(400)
+    edges = [(int(name[i]), int(name[i + 1])) for i in range(300) if i % 100 != 99] + [(int(name[i]), int(name[i])) for i in range(5)] + [(int(name[350]), int(name[351]))] * 2
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert rows_of(line_dedup.contracted(df), "node", "root") == rows_of(components(df), "node", "root")
+    assert not line_dedup.contracted(df.where("a < 0")).collect()
+
+
 def test_pigeonhole_choices():
     r = np.random.default_rng(2)
     for n in (10, 10**5, 10**9, 10**12):
