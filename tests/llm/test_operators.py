@@ -262,6 +262,66 @@ def test_line_dedup_contracts_chains(spark):
     assert not line_dedup.contracted(df.where("a < 0")).collect()
 
 
+def test_components_of_long_chains(spark):
+    """Chains of 300 whose numbers rise, or are in no order, settle as brute force has them."""
+    r = np.random.default_rng(9)
+    for name in (np.arange(400), r.permutation(400)):
+        edges = [(int(name[i]), int(name[i + 1])) for i in range(300)] + [(int(name[350]), int(name[351]))]
+        least = min(int(x) for x in name[:301])
+        want = Counter({(int(x), least): 1 for x in name[:301]}) + Counter({(int(x), int(min(name[350:352]))): 1 for x in name[350:352]})
+        assert rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "root") == want
+
+
+def test_line_dedup_edit_distances_by_batch():
+    """Whether lines are alike, taken for many pairs at once, is what the edit distance says; also with characters beyond one byte, and with long lines."""
+    r, lines = np.random.default_rng(12), []
+    for size in [1, 5, 30, 80, 300] * 3 + [2600]:
+        base = list("".join(r.choice(list("abc déж"), size)))
+        for times in (0, 1, size // 12, size // 10, size // 8):
+            own = list(base)
+            for _ in range(times):
+                at, kind = int(r.integers(len(own))), int(r.integers(3))
+                own[at : at + 1] = [] if kind == 0 and len(own) > 1 else "xю"[int(r.integers(2))] + (own[at] if kind == 1 else "")
+            lines.append("".join(own))
+    own = line_dedup.Lines(lines, 0.9)
+    a, b = np.triu_indices(len(lines), 1)
+    most = own.most(a, b)
+    near = np.abs(own.length[a] - own.length[b]) <= most
+    want = np.array([ok and line_dedup.edits(lines[i], lines[j], int(k)) <= k for i, j, k, ok in zip(a, b, most, near)])
+    assert (own.alike(a, b) == want).all() and 30 < want.sum() < near.sum()
+
+
+def test_line_dedup_verifies_in_proportion():
+    """m lines each within the bound of one, and few of each other: some comparisons a line, not all pairs; and what is linked does not hang on the pairs' order."""
+    r, base = np.random.default_rng(13), "".join(cases.prose(77, 60))
+    lines = [base]
+    for _ in range(400):
+        own = list(base)
+        for at in r.permutation(len(base))[: len(base) // 11]:
+            own[at] = "0123456789"[int(r.integers(10))]
+        lines.append("".join(own))
+    own, tried, alike = line_dedup.Lines(lines, 0.9), [], line_dedup.Lines.alike
+    own.alike = lambda a, b: tried.append(len(a)) or alike(own, a, b)
+    a, b = np.triu_indices(len(lines), 1)
+    assert not own.connected(a, b).any() and sum(tried) < 20 * len(lines)
+    order = r.permutation(len(a))
+    assert not own.connected(a[order], b[order]).any()
+
+
+def test_line_dedup_pairs_beyond_ties(spark):
+    """Candidates beyond the bits of a tie come as pairs, and a line of many of them is tied to its like, so rows follow the lines."""
+    r, rows = np.random.default_rng(14), []
+    for i in range(300):
+        own = cases.prose(88, 40)
+        for at in r.permutation(30)[:13]:
+            own[10 + at] = cases.prose(5000 + 50 * i + int(at), 1)[0] + "q"
+        rows.append((i, " ".join(own)))
+    lines = spark.createDataFrame(rows, "key long, norm string").mapInArrow(lambda batches: line_dedup.pair_rows(b for b in batches), "key long, sim long, length int, counts binary, picks array<long>")
+    got = line_dedup.candidates(lines, 10**9, 2, 0.2, line_dedup.PAIRS, 4).collect()
+    assert {x.tie for x in got} == {True, False} or all(x.tie for x in got)
+    assert 0 < len(got) < line_dedup.DENSE * len(rows) / 2
+
+
 def test_pigeonhole_choices():
     r = np.random.default_rng(2)
     for n in (10, 10**5, 10**9, 10**12):
