@@ -283,12 +283,14 @@ def test_line_dedup_edit_distances_by_batch():
                 at, kind = int(r.integers(len(own))), int(r.integers(3))
                 own[at : at + 1] = [] if kind == 0 and len(own) > 1 else "xю"[int(r.integers(2))] + (own[at] if kind == 1 else "")
             lines.append("".join(own))
+    many = "".join(chr(0x4E00 + i) for i in range(400))
+    lines += [many, many[:390] + many[380:], "".join(chr(0x4E00 + i) for i in range(300, 700))]
     own = line_dedup.Lines(lines, 0.9)
     a, b = np.triu_indices(len(lines), 1)
     most = own.most(a, b)
     near = np.abs(own.length[a] - own.length[b]) <= most
     want = np.array([ok and line_dedup.edits(lines[i], lines[j], int(k)) <= k for i, j, k, ok in zip(a, b, most, near)])
-    assert (own.alike(a, b) == want).all() and 30 < want.sum() < near.sum()
+    assert (own.alike(a, b) == want).all() and 30 < want.sum() < near.sum() and not own.exact[-1]
 
 
 def test_line_dedup_verifies_in_proportion():
@@ -309,16 +311,17 @@ def test_line_dedup_verifies_in_proportion():
 
 
 def test_line_dedup_pairs_beyond_ties(spark):
-    """Candidates beyond the bits of a tie come as pairs, and a line of many of them is tied to its like, so rows follow the lines."""
+    """Candidates beyond the bits of a tie come as pairs; lines of many of them are tied to each other, so rows follow the lines."""
     r, rows = np.random.default_rng(14), []
-    for i in range(300):
-        own = cases.prose(88, 40)
-        for at in r.permutation(30)[:13]:
-            own[10 + at] = cases.prose(5000 + 50 * i + int(at), 1)[0] + "q"
-        rows.append((i, " ".join(own)))
+    for i in range(320):
+        own = cases.prose(88 + max(0, i - 300), 40)
+        for k in range(1 + (i >= 300)):
+            for at in r.permutation(30)[: 13 if i < 300 else 4 * k]:
+                own[10 + at] = cases.prose(5000 + 50 * i + int(at), 1)[0] + "q"
+            rows.append((2 * i + k, " ".join(own)))
     lines = spark.createDataFrame(rows, "key long, norm string").mapInArrow(lambda batches: line_dedup.pair_rows(b for b in batches), "key long, sim long, length int, counts binary, picks array<long>")
     got = line_dedup.candidates(lines, 10**9, 2, 0.2, line_dedup.PAIRS, 4).collect()
-    assert {x.tie for x in got} == {True, False} or all(x.tie for x in got)
+    assert {x.tie for x in got} == {True, False} and all(any(x.tie and {x.a, x.b} == {2 * i, 2 * i + 1} for x in got) or any(not x.tie and {x.a, x.b} == {2 * i, 2 * i + 1} for x in got) for i in range(300, 320))
     assert 0 < len(got) < line_dedup.DENSE * len(rows) / 2
 
 
